@@ -5,15 +5,28 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import sharding, url_rules
+from . import decontamination, line_dedup, sharding, url_rules
 from .common import table
 
 
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, benchmark = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark")
+    return decontamination.contamination(docs, benchmark).select(
+        "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated",
+    )
+
+
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     return url_rules.judge_urls(pages).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    return line_dedup.dedup_lines(docs).select("doc_id", "source", "text", "n_lines", "n_dropped")
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return sharding.assign_shards(docs, 8).select(
@@ -23,11 +36,15 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op4_decontamination": op4_decontamination,
     "op5_url_filter": op5_url_filter,
+    "op6_line_dedup": op6_line_dedup,
     "op10_sharding": op10_sharding,
 }
 
 ORACLES = {
+    "op4_decontamination": decontamination.ORACLE,
     "op5_url_filter": url_rules.ORACLE,
+    "op6_line_dedup": line_dedup.ORACLE,
     "op10_sharding": sharding.oracle(8),
 }
