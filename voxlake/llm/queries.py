@@ -5,8 +5,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, line_dedup, sharding, url_rules
-from .common import table
+import public_tokenizers
+
+from . import bpe, decontamination, line_dedup, quality_classifier, quality_rules, sharding, url_rules
+from .common import table, written
+
+VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    weights = quality_classifier.fit(docs, table(spark, sf_dir, "labels"))
+    held_out = quality_classifier.fold(F.col("doc_id")) == quality_classifier.HELD_OUT
+    return quality_classifier.score(docs, weights).select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
+def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return bpe.digests(docs, VOCABULARY).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,6 +43,15 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup_lines(docs).select("doc_id", "source", "text", "n_lines", "n_dropped")
 
 
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    stats = written(quality_rules.statistics(docs).drop("text"), "rule-statistics")
+    model = quality_rules.fit(stats, table(spark, sf_dir, "labels"))
+    return quality_rules.judge(stats, model).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "anomaly"
+    )
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return sharding.assign_shards(docs, 8).select(
@@ -36,9 +61,12 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_quality_classifier": op2_quality_classifier,
+    "op3_bpe": op3_bpe,
     "op4_decontamination": op4_decontamination,
     "op5_url_filter": op5_url_filter,
     "op6_line_dedup": op6_line_dedup,
+    "op9_quality_rules": op9_quality_rules,
     "op10_sharding": op10_sharding,
 }
 
