@@ -7,12 +7,17 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from . import bpe, decontamination, line_dedup, quality_classifier, quality_rules, sharding, url_rules
+from . import bpe, decontamination, html_extraction, line_dedup, quality_classifier, quality_rules, sharding, url_rules
 from .common import table, written
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return html_extraction.extract(pages).select("page_id", "url", "text", "n_chars")
+
+
 def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     weights = quality_classifier.fit(docs, table(spark, sf_dir, "labels"))
@@ -61,6 +66,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_html_extraction": op1_html_extraction,
     "op2_quality_classifier": op2_quality_classifier,
     "op3_bpe": op3_bpe,
     "op4_decontamination": op4_decontamination,
