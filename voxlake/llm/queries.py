@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from . import bpe, decontamination, html_extraction, line_dedup, quality_classifier, quality_rules, sharding, url_rules
+from . import bpe, decontamination, html_extraction, line_dedup, near_dedup, quality_classifier, quality_rules, sharding, url_rules
 from .common import table, written
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -48,6 +48,10 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup_lines(docs).select("doc_id", "source", "text", "n_lines", "n_dropped")
 
 
+def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.classes(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     stats = written(quality_rules.statistics(docs).drop("text"), "rule-statistics")
@@ -72,6 +76,7 @@ QUERIES = {
     "op4_decontamination": op4_decontamination,
     "op5_url_filter": op5_url_filter,
     "op6_line_dedup": op6_line_dedup,
+    "op8_near_dedup": op8_near_dedup,
     "op9_quality_rules": op9_quality_rules,
     "op10_sharding": op10_sharding,
 }
