@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from . import bpe, decontamination, html_extraction, line_dedup, near_dedup, quality_classifier, quality_rules, sharding, url_rules
+from . import bpe, decontamination, html_extraction, line_dedup, near_dedup, quality_classifier, quality_rules, revisits, sharding, url_rules
 from .common import table, written
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -48,6 +48,13 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup_lines(docs).select("doc_id", "source", "text", "n_lines", "n_dropped")
 
 
+def op7_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    log = revisits.crawl_log(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    resolved = revisits.resolve(log)
+    headers = F.array_join(F.transform(F.array_sort(F.map_entries("headers")), lambda e: F.concat(e["key"], F.lit(": "), e["value"])), "\n")
+    return resolved.select("record_id", "url", "at", "response_id", "resolution", headers.alias("headers"), F.md5(F.col("body").cast("binary")).alias("body_md5"))
+
+
 def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.classes(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -76,6 +83,7 @@ QUERIES = {
     "op4_decontamination": op4_decontamination,
     "op5_url_filter": op5_url_filter,
     "op6_line_dedup": op6_line_dedup,
+    "op7_revisits": op7_revisits,
     "op8_near_dedup": op8_near_dedup,
     "op9_quality_rules": op9_quality_rules,
     "op10_sharding": op10_sharding,
@@ -85,5 +93,6 @@ ORACLES = {
     "op4_decontamination": decontamination.ORACLE,
     "op5_url_filter": url_rules.ORACLE,
     "op6_line_dedup": line_dedup.ORACLE,
+    "op7_revisits": revisits.ORACLE,
     "op10_sharding": sharding.oracle(8),
 }
