@@ -1,0 +1,33 @@
+"""Time expressions that don't depend on the session's time zone."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+
+def micros(name: str) -> Column:
+    """Microseconds since 1970 of a TIMESTAMP_NTZ column (or of a TIMESTAMP in a UTC session)."""
+    return F.expr(f"timestampdiff(MICROSECOND, TIMESTAMP_NTZ '1970-01-01 00:00:00', CAST({name} AS TIMESTAMP_NTZ))")
+
+
+def seconds(name: str) -> Column:
+    """Whole seconds since 1970, rounded down."""
+    return F.floor(micros(name) / 1_000_000).cast("long")
+
+
+def gmt(raw: Column) -> Column:
+    """N10: 'YYYY-MM-DD HH:MM:SS GMT' as a timestamp; null if it can't be read."""
+    return F.try_to_timestamp(F.trim(F.regexp_replace(raw, r"\s*GMT\s*$", "")), F.lit("yyyy-MM-dd HH:mm:ss"))
+
+
+def stamp(raw: Column) -> Column:
+    """N12: 'YYYY-MM-DD[ T]HH:MM:SS', an offset dropped, not converted; null if it can't be read."""
+    plain = F.regexp_extract(raw, r"^(\d{4}-\d\d-\d\d)[ T](\d\d:\d\d:\d\d)", 0)
+    return F.try_to_timestamp(F.nullif(F.regexp_replace(plain, "T", " "), F.lit("")), F.lit("yyyy-MM-dd HH:mm:ss"))
+
+
+def turn_time(start: Column, clock: Column) -> Column:
+    """A turn's HH:MM:SS on the day of start, or the next day if it is earlier than start."""
+    same_day = F.try_to_timestamp(F.concat(F.date_format(start, "yyyy-MM-dd "), clock), F.lit("yyyy-MM-dd HH:mm:ss"))
+    return F.when(same_day < start, same_day + F.expr("INTERVAL 1 DAY")).otherwise(same_day)

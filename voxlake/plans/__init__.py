@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
+from . import journal
 
-def modules() -> list:
-    return []
+MODULES = (journal,)
 
 
 def queries() -> dict:
-    return {name: run for module in modules() for name, run in module.QUERIES.items()}
+    return {name: run for module in MODULES for name, run in module.QUERIES.items()}
 
 
 def oracles() -> dict:
-    return {name: sql for module in modules() for name, sql in module.ORACLES.items()}
+    return {name: sql for module in MODULES for name, sql in module.ORACLES.items()}
