@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import journal
+from . import journal, registry
 
-MODULES = (journal,)
+MODULES = (journal, registry)
 
 
 def queries() -> dict:
