@@ -34,13 +34,19 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 
 def ascii_lower(text: Column) -> Column:
-    """A-Z become a-z; every other character stays."""
-    return F.translate(text, UPPER, UPPER.lower())
+    """A-Z become a-z; every other character stays. lower() is the faster way where a text is all ASCII."""
+    return F.when(is_ascii(text), F.lower(text)).otherwise(F.translate(text, UPPER, UPPER.lower()))
+
+
+def is_ascii(text: Column) -> Column:
+    return F.octet_length(text) == F.char_length(text)
 
 
 def words(text: Column) -> Column:
-    """Array of the lower-cased words of a text; null has none."""
-    return F.regexp_extract_all(ascii_lower(F.coalesce(text, F.lit(""))), F.lit(f"({WORD})"), F.lit(1))
+    """Array of the lower-cased words of a text; null has none. Both branches give the same words; the first is faster."""
+    text = F.coalesce(text, F.lit(""))
+    plain = F.regexp_extract_all(F.lower(text), F.lit("([0-9a-z]+)"), F.lit(1))
+    return F.when(is_ascii(text), plain).otherwise(F.regexp_extract_all(F.translate(text, UPPER, UPPER.lower()), F.lit(f"({WORD})"), F.lit(1)))
 
 
 def without(df: DataFrame, *names: str) -> DataFrame:

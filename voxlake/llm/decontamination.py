@@ -20,15 +20,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import WORD, ascii_lower, without, words
+from .common import WORD, without, words, written
 
 WINDOW = 13
 #: Most bytes of benchmark windows that are broadcast.
 BROADCAST_BYTES = 64 << 20
 
 
-def _hash(grams: Column) -> Column:
-    return F.xxhash64(grams)
+def _hash(at, n: Column) -> Column:
+    """Hash of the first, the last and two inner words of a window; at(i) is its word i, counted from 0. Equal windows have equal hashes."""
+    last = n - 1
+    inner = [F.floor(last / 3).cast("int"), F.floor(last * 2 / 3).cast("int")]
+    return F.xxhash64(at(F.lit(0)), at(inner[0]), at(inner[1]), at(last))
 
 
 def benchmark_windows(benchmark: DataFrame, size: int, item_col: str, text_col: str) -> DataFrame:
@@ -42,7 +45,7 @@ def benchmark_windows(benchmark: DataFrame, size: int, item_col: str, text_col:
 
 def hits(docs: DataFrame, windows: DataFrame) -> DataFrame:
     """fp, at, n, gram, once for each place of a text: where windows (n, gram) occur in docs (fp, tokens)."""
-    grams = windows.select("n", "gram", _hash(F.col("gram")).alias("h")).distinct()
+    grams = windows.select("n", "gram", _hash(lambda i: F.get("gram", i), F.col("n")).alias("h")).distinct()
     # One row per window length that occurs, 13 at most: the lengths to scan for, and the bytes that a broadcast would take.
     sizes = grams.groupBy("n").agg(F.sum(F.length(F.array_join("gram", "")) * 4 + 16 * F.col("n") + 64).alias("bytes")).collect()
     lengths = sorted(r["n"] for r in sizes)
@@ -54,9 +57,10 @@ def hits(docs: DataFrame, windows: DataFrame) -> DataFrame:
     for n in lengths:
         long_enough = docs.filter(F.size("tokens") >= n)
         places = long_enough.select("fp", "tokens", F.explode(F.sequence(F.lit(1), F.size("tokens") - (n - 1))).alias("at"))
-        scanned = places.select("fp", "at", F.slice("tokens", F.col("at"), n).alias("own"))
-        scanned = scanned.withColumn("h", _hash(F.col("own")))
-        same = (scanned["h"] == grams["h"]) & (grams["n"] == n) & (scanned["own"] == grams["gram"])
+        scanned = places.withColumn("h", _hash(lambda i: F.get("tokens", F.col("at") - 1 + i), F.lit(n)))
+        own = F.slice("tokens", F.col("at"), n)
+        # The hash alone is the join's key; equality of the words, written so that it is no key, is the check.
+        same = (scanned["h"] == grams["h"]) & (grams["n"] == n) & (own <= grams["gram"]) & (own >= grams["gram"])
         one = scanned.join(grams, same).select("fp", "at", "n", "gram")
         found = one if found is None else found.unionByName(one)
     return found.distinct()
@@ -72,7 +76,8 @@ def contamination(
     # Copies meet by this key; a document's other columns play no part in its result.
     keyed = without(docs.withColumns({"__fp": F.unhex(F.md5(F.coalesce(text, F.lit("")).cast("binary"))), "__tokens": words(text)}), *added)
     windows = benchmark_windows(benchmark, size, item_col, text_col)
-    places = hits(keyed.select(F.col("__fp").alias("fp"), F.col("__tokens").alias("tokens")), windows)
+    # Written once, as spans and items both read it; it holds the places that hit, not the windows scanned.
+    places = written(hits(keyed.select(F.col("__fp").alias("fp"), F.col("__tokens").alias("tokens")), windows), "benchmark-hits")
     # Occurrences of one text: at most one per word and window length.
     order = Window.partitionBy("fp").orderBy("at", "n")
     before = order.rowsBetween(Window.unboundedPreceding, -1)
@@ -91,7 +96,7 @@ def contamination(
     n_words = F.size("__tokens").cast("long")
     counted = keyed.withColumn("__n_words", n_words).drop("__tokens").join(found, "__fp", "left")
     return counted.select(
-        *[F.col(f"`{c}`") for c in keyed.columns if not c.startswith("__")],
+        *[F.col(f"`{c}`") for c in docs.columns if c.lower() not in added],
         F.col("__n_words").alias("n_words"),
         n_hit.alias("n_hit"),
         F.coalesce("__items", F.array().cast("array<string>")).alias("items"),
