@@ -74,7 +74,7 @@ def dedup_lines(
     return joined.select(
         *[
             F.when(drops, F.array_join(F.filter(lines, lambda x: ~is_gone(x)), "\n")).otherwise(text).alias(c) if c == text_col else F.col(f"`{c}`")
-            for c in keyed.columns if not c.startswith("__")
+            for c in docs.columns if c.lower() not in ("n_lines", "n_dropped")
         ],
         F.size(F.filter(lines, lambda x: F.trim(x) != "")).cast("long").alias("n_lines"),
         F.when(drops, F.size(gone)).otherwise(0).cast("long").alias("n_dropped"),
