@@ -1,0 +1,4 @@
+"""Constants of the text functions that no other module should know."""
+
+#: Code points from here on stand for words in an edit distance; 0x3400 + 20,000 stays below the surrogates.
+FIRST_CODE = 0x3400

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import journal, registry
+from . import journal, registry, text
 
-MODULES = (journal, registry)
+MODULES = (journal, registry, text)
 
 
 def queries() -> dict:
