@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import WORD, without, words, written
+from .common import WORD, let, without, words, written
 
 WINDOW = 13
 #: Most bytes of benchmark windows that are broadcast.
@@ -108,14 +108,20 @@ def contamination(
 def without_spans(text: Column, spans: Column) -> Column:
     """The text without the words of the spans and what stands between them."""
     pieces = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(f"({WORD}|[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+)"), F.lit(1))
-    first_is_word = F.coalesce(F.get(pieces, F.lit(0)), F.lit("")).rlike(f"^{WORD}")
-    # Piece j (0-based) is word number (j + 1) / 2 rounded up or down, or stands after it.
-    number = lambda j: F.floor((j + F.when(first_is_word, 2).otherwise(1)) / 2)
-    is_word = lambda j: (j % 2 == 0) == first_is_word
-    gone = lambda j: F.exists(
-        spans, lambda s: (number(j) >= s["first"]) & F.when(is_word(j), number(j) <= s["last"]).otherwise(number(j) < s["last"])
-    )
-    return F.when(F.size(spans) == 0, text).otherwise(F.array_join(F.filter(pieces, lambda p, j: ~gone(j)), ""))
+    starts_with_word = F.coalesce(text, F.lit("")).rlike(f"^{WORD}")
+
+    def cut(known: Column) -> Column:
+        pieces, word_first = known["pieces"], known["word_first"]
+        # Piece j (0-based) is word number (j + 1) / 2 rounded up or down, or stands after it.
+        number = lambda j: F.floor((j + F.when(word_first, 2).otherwise(1)) / 2)
+        is_word = lambda j: (j % 2 == 0) == word_first
+        gone = lambda j: F.exists(
+            spans, lambda s: (number(j) >= s["first"]) & F.when(is_word(j), number(j) <= s["last"]).otherwise(number(j) < s["last"])
+        )
+        return F.array_join(F.filter(pieces, lambda p, j: ~gone(j)), "")
+
+    known = F.struct(pieces.alias("pieces"), starts_with_word.alias("word_first"))
+    return F.when(F.size(spans) == 0, text).otherwise(let(known, cut))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, *, remove: str = "documents", **options) -> DataFrame:
