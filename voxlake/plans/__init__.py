@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import journal, registry, text
+from . import evaluation, journal, registry, text
 
-MODULES = (journal, registry, text)
+MODULES = (journal, registry, text, evaluation)
 
 
 def queries() -> dict:
