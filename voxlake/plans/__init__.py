@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import evaluation, journal, registry, text
+from . import evaluation, journal, registry, signal, text
 
-MODULES = (journal, registry, text, evaluation)
+MODULES = (journal, registry, text, evaluation, signal)
 
 
 def queries() -> dict:
