@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import evaluation, journal, registry, signal, text
+from . import airband, evaluation, journal, registry, signal, text
 
-MODULES = (journal, registry, text, evaluation, signal)
+MODULES = (journal, registry, text, evaluation, signal, airband)
 
 
 def queries() -> dict:
