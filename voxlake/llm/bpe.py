@@ -22,9 +22,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import without
 
@@ -32,6 +34,7 @@ from .common import without
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 PRINTABLE = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
 BATCH_CHARS = 4_000_000
+ENCODE_CHARS = 1_000_000
 
 
 def byte_of_char() -> dict[str, int]:
@@ -189,10 +192,25 @@ def _added(docs: DataFrame, vocabulary_path: str, schema: str, row) -> DataFrame
 
 
 def encode(docs: DataFrame, vocabulary_path: str, *, text_col: str = "text") -> DataFrame:
-    """docs with ids (array of ints), n_tokens, and decoded (the text of the ids)."""
-    schema = "ids array<int>, n_tokens long, decoded string"
-    row = lambda v, ids: (ids.astype(np.int32), len(ids), v.decode(ids))
-    return _with(docs, _added(docs, vocabulary_path, schema, row), text_col, ["ids", "n_tokens", "decoded"])
+    """docs with n_tokens and ids (array of ints). Batches leave a task as soon as they are encoded, about a million characters at a time."""
+    vocabulary = docs.sparkSession.sparkContext.broadcast(Vocabulary(vocabulary_path))
+    kept = [i for i, c in enumerate(docs.columns) if c.lower() not in ("ids", "n_tokens")]
+    text_at = docs.columns.index(text_col)
+
+    def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [t or "" for t in batch.column(text_at).to_pylist()]
+            for a, b in batches_of(texts, ENCODE_CHARS):
+                ids = vocabulary.value.encode(texts[a:b])
+                sizes = np.array([len(x) for x in ids], np.int32)
+                flat = pa.array(np.concatenate(ids).astype(np.int32))
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), flat)
+                own = batch.slice(a, b - a)
+                columns = [own.column(i) for i in kept] + [pa.array(sizes.astype(np.int64)), lists]
+                yield pa.RecordBatch.from_arrays(columns, [batch.schema.names[i] for i in kept] + ["n_tokens", "ids"])
+
+    schema = T.StructType([docs.schema.fields[i] for i in kept]).add("n_tokens", T.LongType()).add("ids", T.ArrayType(T.IntegerType()))
+    return docs.mapInArrow(coded, schema)
 
 
 def digests(docs: DataFrame, vocabulary_path: str, *, text_col: str = "text") -> DataFrame:

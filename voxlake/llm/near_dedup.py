@@ -8,10 +8,11 @@ earliest point seen. Two documents agree in a register with probability equal to
 the latest register are never made, so that long documents cost little more than reading them.
 
 Texts that are equal as word sequences collapse first. The others meet in 32 buckets of 5 registers each (two of similarity 0.8 miss each other with
-probability 3e-6). First, every text of a bucket is verified against the bucket's first text, and verified links are joined to components.
-Then every pair of texts that shares a bucket and still lies in different components is verified, so that no link between
-components is lost, while a bucket of copies costs one comparison for each. A crowded bucket that is still in many pieces is cut finer
-first: its texts meet again where a second bucket agrees too (probability of a miss below 1e-4 at 0.8). There is no cap.
+probability 3e-6). First, every text of a bucket is verified against the bucket's most central text, the one that meets the most texts over all its
+buckets, and verified links are joined to components: a group of copies costs one comparison for each. Then what shares a bucket and still lies in
+different components is compared too, so that no link between components is lost. In a bucket of 16 texts or fewer that is every pair. In a larger
+one, pairs come from a prefix filter, which is exact: of the shingles of a text, the rarest come first, and any text that reaches the similarity must hold one
+of so many of the first that missing them all would leave too small an overlap. There is no cap.
 
 Links are verified exactly: sum of minima over sum of maxima of the shingle counts, at least 0.8. Classes are connected components, found by
 star contraction with each round written to the shared folder; nothing but counts reaches the driver.
@@ -24,6 +25,7 @@ an output column are replaced. Texts are read whole, whatever their length.
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 from collections.abc import Iterator
 
@@ -32,6 +34,7 @@ import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .bpe import batches_of
 from .common import UPPER, WORD, without, written
@@ -39,12 +42,16 @@ from .common import UPPER, WORD, without, written
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 32, 5
 REGISTERS = BANDS * ROWS
-#: A bucket in more pieces than this is cut by a second bucket before its pairs are made.
-CROWDED = 64
+#: In a bucket of more texts than this, pairs across components come from the prefix filter.
+CROWDED = 16
+#: Sizes of texts fall into classes of this ratio for the prefix filter.
+CLASS = 1.02
+#: Rows in an Arrow batch of bags of shingles or of pairs of them.
+BAGS_AT_ONCE = 256
 _GOLD, _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _LOWER = str.maketrans(UPPER, UPPER.lower())
 _find = re.compile(WORD).findall
-_CHARS = 1_000_000
+_CHARS = 500_000
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -188,23 +195,65 @@ def components(edges: DataFrame) -> DataFrame:
     return written(now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(roots), "components")
 
 
+def _in_small_batches(df: DataFrame, name: str) -> DataFrame:
+    """Written with few rows in an Arrow batch, as each holds whole bags."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = conf.get(key)
+    conf.set(key, str(BAGS_AT_ONCE))
+    try:
+        return written(df, name)
+    finally:
+        conf.set(key, before)
+
+
 class _Verifier:
-    """Shingle bags of the texts that pairs need, fetched once, and the overlap of pairs."""
+    """Shingle bags of texts, and the overlap of pairs."""
 
     def __init__(self, docs: DataFrame, nodes: DataFrame, text_col: str, similarity: float):
         self.docs, self.nodes, self.text_col, self.similarity = docs, nodes, text_col, similarity
 
-    def links(self, pairs: DataFrame) -> DataFrame:
-        """The pairs (a, b) whose similarity reaches the bound."""
-        needed = pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct().join(self.nodes.select("fp", "raw"), "fp")
+    def bags(self, needed: DataFrame) -> DataFrame:
+        """fp, h, c (hashes and counts of the shingles) of the texts needed (fp)."""
+        needed = needed.join(self.nodes.select("fp", "raw"), "fp")
         text = F.col(f"`{self.text_col}`")
         texts = self.docs.select(_raw(text).alias("raw"), text.alias("text")).join(needed, "raw")
         texts = texts.groupBy("fp").agg(F.min("text").alias("text"))  # copies: one of each
-        bags = written(texts.select("fp", F.pandas_udf(_bag, "h array<long>, c array<int>")("text").alias("s")).select("fp", "s.h", "s.c"), "bags")
+        bag = F.pandas_udf(_bag, "h array<long>, c array<int>")
+        return _in_small_batches(texts.select("fp", bag("text").alias("s")).select("fp", "s.h", "s.c"), "bags")
+
+    def links(self, pairs: DataFrame) -> DataFrame:
+        """The pairs (a, b) whose similarity reaches the bound."""
+        bags = self.bags(pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct())
         first = bags.withColumnsRenamed({"fp": "a", "h": "ha", "c": "ca"})
         second = bags.withColumnsRenamed({"fp": "b", "h": "hb", "c": "cb"})
         found = pairs.join(first, "a").join(second, "b").withColumn("overlap", F.pandas_udf(_overlap, "double")("ha", "ca", "hb", "cb"))
-        return written(found.filter(F.col("overlap") >= self.similarity).select("a", "b"), "verified")
+        return _in_small_batches(found.filter(F.col("overlap") >= self.similarity).select("a", "b"), "verified")
+
+    def prefix_pairs(self, placed: DataFrame) -> DataFrame:
+        """Pairs (a > b) across components of texts that may reach the similarity. placed: key, fp, root, of crowded buckets.
+
+        Of a bucket's components the one with most texts there is the main one; its texts needn't be asked for, as every pair sought has a side outside.
+        """
+        sizes = placed.groupBy("key", "root").agg(F.count("*").alias("n"))
+        main = sizes.groupBy("key").agg(F.max_by("root", F.struct("n", "root")).alias("main"))
+        asking = placed.join(main, "key").filter("root <> main").select("fp").distinct()
+        texts = placed.select("fp", "root").distinct()
+        bags = self.bags(texts.select("fp")).withColumn("size", F.aggregate("c", F.lit(0), lambda x, y: x + y))
+        held = bags.join(texts, "fp").select("fp", "root", "size", F.inline(F.arrays_zip("h", "c")))
+        often = held.groupBy("h").agg(F.count("*").alias("often"))
+        t = self.similarity
+        need = lambda size: F.ceil(t / (1 + t) * (F.col("size") + size) - 1e-9)  # noqa: E731  overlap with a text of this size
+        before = Window.partitionBy("fp").orderBy("often", "h").rowsBetween(Window.unboundedPreceding, -1)
+        ranked = held.join(asking, "fp").join(often, "h").withColumn("ahead", F.coalesce(F.sum("c").over(before), F.lit(0)))
+        ranked = ranked.filter(F.col("ahead") <= F.col("size") - F.ceil(t * F.col("size") - 1e-9))
+        class_of = lambda size: F.floor(F.log(size) / math.log(CLASS)).cast("int")
+        low, high = F.ceil(t * F.col("size") - 1e-9), F.floor(F.col("size") / t + 1e-9)
+        least = lambda k: F.greatest(F.floor(F.pow(F.lit(CLASS), k) - 1e-6), low)  # noqa: E731  size in class k
+        fits = F.filter(F.sequence(class_of(low) - 1, class_of(high) + 1), lambda k: F.col("ahead") <= F.col("size") - need(least(k)))
+        asked = ranked.select("h", F.col("fp").alias("x"), F.col("root").alias("root_x"), F.explode(fits).alias("class"))
+        offered = held.select("h", F.col("fp").alias("y"), F.col("root").alias("root_y"), class_of(F.col("size")).alias("class"))
+        met = asked.join(offered, ["h", "class"]).filter("root_x <> root_y")
+        return met.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct()
 
 
 def _pairs_across(members: DataFrame) -> DataFrame:
@@ -220,21 +269,20 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     nodes = written(signed.groupBy("fp").agg(F.min("raw").alias("raw"), F.first("bands").alias("bands")), "texts")
     verifier = _Verifier(docs, nodes, text_col, similarity)
     members = nodes.select("fp", F.explode("bands").alias("key"))
-    buckets = members.groupBy("key").agg(F.count("*").alias("n"), F.min("fp").alias("hub")).filter("n > 1")
+    buckets = members.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
     shared = written(members.join(buckets, "key"), "buckets")
-    to_hub = written(shared.filter("fp <> hub").select(F.col("fp").alias("a"), F.col("hub").alias("b")).distinct(), "pairs")
+    # The most central text of a bucket: the one that meets most others, over all its buckets.
+    central = shared.groupBy("fp").agg(F.sum("n").alias("met"))
+    hubs = shared.join(central, "fp").groupBy("key").agg(F.max_by("fp", F.struct("met", "fp")).alias("hub"))
+    to_hub = shared.join(hubs, "key").filter("fp <> hub")
+    to_hub = written(to_hub.select(F.greatest("fp", "hub").alias("a"), F.least("fp", "hub").alias("b")).distinct(), "pairs")
     links = verifier.links(to_hub)
     roots = components(links)
     # Second pass: buckets of three texts or more that still lie in several components.
-    placed = shared.filter("n > 2").select("key", "fp").join(roots.withColumnRenamed("node", "fp"), "fp", "left")
-    placed = placed.withColumn("root", F.coalesce("root", "fp"))
+    placed = shared.filter("n > 2").join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     pieces = placed.select("key", "root").distinct().groupBy("key").agg(F.count("*").alias("pieces")).filter("pieces > 1")
-    placed = written(placed.join(pieces, "key"), "pieces")
-    pairs = _pairs_across(placed.filter(F.col("pieces") <= CROWDED))
-    crowded = placed.filter(F.col("pieces") > CROWDED).join(nodes.select("fp", "bands"), "fp")
-    crowded = crowded.select("fp", "root", F.col("key").alias("own"), F.explode("bands").alias("key")).filter("own <> key")
-    finer = crowded.select("fp", "root", F.xxhash64(F.least("own", "key"), F.greatest("own", "key")).alias("key")).distinct()
-    pairs = pairs.unionByName(_pairs_across(finer)).distinct()
+    placed = written(placed.join(pieces, "key").select("key", "n", "fp", "root"), "pieces")
+    pairs = _pairs_across(placed.filter(F.col("n") <= CROWDED)).unionByName(verifier.prefix_pairs(placed.filter(F.col("n") > CROWDED))).distinct()
     more = verifier.links(written(pairs.join(to_hub, ["a", "b"], "left_anti"), "pairs"))
     if more.head(1):
         roots = components(links.unionByName(more))
