@@ -1,10 +1,10 @@
 """Operator 9, quality rules: an isolation forest on rule statistics.
 
 Each whole text gets its rule statistics (words, characters in words, symbols, repeated lines, words in repeated
-three-word windows, capital letters, words without a letter or digit). Base rules reject short and repetitive texts outright. The others are judged by an
+three-word windows, words without a letter or digit). Base rules reject short and repetitive texts outright. The others are judged by an
 isolation forest: random splits of the statistics, grown on a bounded sample, isolate an odd document after a short path.
-The score above which a document goes is calibrated on all labelled rows: the lowest at which no more than ``most_lost``
-of the rows labelled good would go.
+The score above which a document goes is calibrated on all labelled rows: of the cuts at which no more than ``most_lost``
+of the rows labelled good would go, the one with the fewest wrong verdicts (the middle one of several); without rows labelled bad, the lowest of them.
 
 The forest grows on the driver from ``sample`` rows at most (those of the lowest hash; labelled good where labels exist, and one labelled
 bad for each ``odd_rows`` of them): 100 trees of 256 rows each. The calibration gathers counts per score bin, 1000 bins per label. Statistics and scores are computed in Arrow
@@ -33,11 +33,11 @@ from .quality_classifier import HELD_OUT, fold
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SPACE = " \t\n\v\f\r"
 SYMBOLS = "#*$%&|<>"
-STATISTICS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_capitals", "n_letters", "n_bare_words")
+STATISTICS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_bare_words")
 SAMPLE = 8192
 TREES, TREE_ROWS, DEPTH = 100, 256, 8
 BINS = 1000
-MOST_LOST = 0.002
+MOST_LOST = 0.01
 #: Of so many good rows that the forest grows on, one odd row joins them: a split needs an odd value to fall beside.
 ODD_ROWS = 50
 
@@ -50,13 +50,7 @@ def measure(texts: list[str]) -> np.ndarray:
         found = WORD.findall(text)
         words += found
         lines = [x for x in text.split("\n") if x.strip(SPACE)]
-        raw = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
-        counts = np.bincount(raw, minlength=128)
-        capitals = counts[65:91].sum()
-        out[i] = (
-            len(found), 0, sum(text.count(s) for s in SYMBOLS), len(lines) - len(set(lines)), 0, len(lines), capitals,
-            capitals + counts[97:123].sum(), 0,
-        )
+        out[i] = len(found), 0, sum(text.count(s) for s in SYMBOLS), len(lines) - len(set(lines)), 0, 0
     if not words:
         return out
     number = {w: i for i, w in enumerate(dict.fromkeys(words))}
@@ -65,7 +59,7 @@ def measure(texts: list[str]) -> np.ndarray:
     owner = np.repeat(np.arange(len(texts)), out[:, 0])
     out[:, 1] = np.bincount(owner, length[codes], len(texts))
     bare = np.fromiter((not any(map(str.isalnum, w)) for w in number), bool, len(number))
-    out[:, 8] = np.bincount(owner, bare[codes], len(texts))
+    out[:, 5] = np.bincount(owner, bare[codes], len(texts))
     # Equal windows of a text have equal keys; numbering pairs first keeps the keys below 2**63.
     whole = np.flatnonzero(owner[:-2] == owner[2:])
     if len(whole):
@@ -102,7 +96,7 @@ def features(rows: pd.DataFrame) -> np.ndarray:
     words, chars = np.maximum(1, s["n_words"]), np.maximum(1, s["word_chars"])
     return np.stack([
         s["n_symbols"] / chars, s["n_symbols"] / words, s["n_bare_words"] / words,
-        s["n_dup_lines"] / np.maximum(1, s["n_lines"]), s["n_repeat_words"] / words,
+        s["n_repeat_words"] / words, chars / words,
     ], axis=1)
 
 
@@ -194,12 +188,15 @@ def fit(
     forest = Forest.grow(features(grown_on)) if len(grown_on) >= 2 else None
     if not calibrated:
         return Model(forest, 1.0)
-    bins = anomaly(labelled.filter("__label = 1"), forest).groupBy(F.ceil(F.col("anomaly") * BINS).cast("int").alias("bin")).count().collect()
-    counts = np.zeros(BINS + 1, np.int64)
-    for r in bins:
-        counts[r["bin"]] = r["count"]
-    above = counts.sum() - np.cumsum(counts)  # good rows whose bin is higher
-    return Model(forest, int(np.argmax(above <= most_lost * counts.sum())) / BINS)
+    binned = anomaly(labelled, forest).groupBy("__label", F.ceil(F.col("anomaly") * BINS).cast("int").alias("bin")).count()
+    counts = np.zeros((2, BINS + 1), np.int64)
+    for r in binned.collect():
+        counts[r["__label"], r["bin"]] = r["count"]
+    lost, missed = counts[1].sum() - np.cumsum(counts[1]), np.cumsum(counts[0])  # at each cut: good rows above it, bad rows up to it
+    allowed = np.flatnonzero(lost <= most_lost * counts[1].sum())
+    wrong = (lost + missed)[allowed]
+    best = allowed[wrong == wrong.min()] if counts[0].any() else allowed[:1]
+    return Model(forest, int(best[len(best) // 2]) / BINS)
 
 
 def judge(stats: DataFrame, model: Model) -> DataFrame:
