@@ -33,8 +33,8 @@ from .common import without
 #: Fixed values of the byte-level format: its word pattern, and the bytes that stand for themselves.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 PRINTABLE = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-BATCH_CHARS = 4_000_000
-ENCODE_CHARS = 1_000_000
+#: Characters that a task works on at once; its numpy arrays take some 50 bytes for each.
+BATCH_CHARS = 500_000
 
 
 def byte_of_char() -> dict[str, int]:
@@ -192,7 +192,7 @@ def _added(docs: DataFrame, vocabulary_path: str, schema: str, row) -> DataFrame
 
 
 def encode(docs: DataFrame, vocabulary_path: str, *, text_col: str = "text") -> DataFrame:
-    """docs with n_tokens and ids (array of ints). Batches leave a task as soon as they are encoded, about a million characters at a time."""
+    """docs with n_tokens and ids (array of ints). Batches leave a task as soon as they are encoded, half a million characters at a time."""
     vocabulary = docs.sparkSession.sparkContext.broadcast(Vocabulary(vocabulary_path))
     kept = [i for i, c in enumerate(docs.columns) if c.lower() not in ("ids", "n_tokens")]
     text_at = docs.columns.index(text_col)
@@ -200,7 +200,7 @@ def encode(docs: DataFrame, vocabulary_path: str, *, text_col: str = "text") ->
     def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = [t or "" for t in batch.column(text_at).to_pylist()]
-            for a, b in batches_of(texts, ENCODE_CHARS):
+            for a, b in batches_of(texts):
                 ids = vocabulary.value.encode(texts[a:b])
                 sizes = np.array([len(x) for x in ids], np.int32)
                 flat = pa.array(np.concatenate(ids).astype(np.int32))
