@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import batches_of
-from .common import without
+from .common import without, written
 from .quality_classifier import HELD_OUT, fold
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -206,10 +206,11 @@ def judge(stats: DataFrame, model: Model) -> DataFrame:
 
 
 def filter_documents(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
-    """The kept rows of docs, their columns as they are. Statistics are measured for the fit, and again, beside the text, for the verdicts."""
+    """The kept rows of docs, their columns as they are. Statistics are measured once for the fit, written without the texts, and again, beside the
+    text, for the verdicts."""
     names = {c: f"__in_{c}" for c in docs.columns}
     renamed = docs.withColumnsRenamed(names)
     stats = statistics(renamed.select(F.col("__in_doc_id").alias("doc_id"), F.col("__in_text").alias("text")))
-    model = fit(stats.drop("text"), labels, **options)
+    model = fit(written(stats.drop("text"), "rule-statistics"), labels, **options)
     kept = judge(statistics(renamed, "__in_text"), model).filter("kept")
     return kept.select(*[F.col(f"`{new}`").alias(old) for old, new in names.items()])
