@@ -59,9 +59,11 @@ def hub_ships(payloads: DataFrame, column: str = "value") -> DataFrame:
 
 
 def aircraft(snapshots: DataFrame) -> DataFrame:
-    """Snapshots (t, aircraft) as rows: a hex is required, flights are trimmed, 'ground' becomes on_ground. A snapshot without a list raises."""
+    """Snapshots (t, aircraft) as rows: a hex is required, flights are trimmed, 'ground' becomes on_ground, the type
+    code (t in a snapshot's list) type_code. A snapshot without a list raises."""
     listed = F.when(F.col("aircraft").isNull(), F.raise_error(F.lit("the snapshot has no list of aircraft"))).otherwise(F.col("aircraft"))
-    rows = snapshots.select("t", F.inline(listed)).filter(F.coalesce(F.trim("hex"), F.lit("")) != "")
+    rows = snapshots.select(F.col("t").alias("__t"), F.inline(listed)).withColumnsRenamed({"t": "type_code", "__t": "t"})
+    rows = rows.filter(F.coalesce(F.trim("hex"), F.lit("")) != "")
     return rows.withColumns({
         "flight": _filled("flight"), "alt_ft": F.col("alt_baro").try_cast("double"), "on_ground": F.coalesce(F.col("alt_baro") == "ground", F.lit(False)),
     }).drop("alt_baro")

@@ -24,15 +24,18 @@ def hourly_counts(messages: DataFrame, late: str = "2 hours") -> DataFrame:
     )
 
 
-def late_enrichment(transmissions: DataFrame, snapshots: DataFrame, after: str = "60 seconds", late: str = "75 seconds") -> DataFrame:
-    """Each transmission once, with the number of snapshots that arrived up to ``after`` later; null when the watermark passed without one.
+def late_enrichment(transmissions: DataFrame, snapshots: DataFrame, after: int = 60, late: str = "75 seconds") -> DataFrame:
+    """Each transmission with the snapshots that came up to ``after`` seconds later; once, with nulls, when the watermark passed without one.
 
-    transmissions: id, t. snapshots: snap_t, hex.
+    transmissions: id, t. snapshots: snap_t, hex. Both meet in buckets of ``after`` seconds: a transmission lies in its own, a snapshot in its own and
+    the one before, so that a pair meets once and a hot time spreads over the buckets.
     """
-    left = transmissions.withColumn("t", F.col("t").cast("timestamp")).withWatermark("t", late)
+    bucket = lambda t: F.floor(F.unix_timestamp(t) / after)
+    left = transmissions.withColumn("t", F.col("t").cast("timestamp")).withWatermark("t", late).withColumn("bucket", bucket(F.col("t")))
     right = snapshots.withColumn("snap_t", F.col("snap_t").cast("timestamp")).withWatermark("snap_t", late)
-    within = (F.col("snap_t") > F.col("t")) & (F.col("snap_t") <= F.col("t") + F.expr(f"INTERVAL {after}"))
-    return left.join(right, within, "left_outer").select("id", "t", "snap_t", "hex")
+    right = right.withColumn("snap_bucket", F.explode(F.array(bucket(F.col("snap_t")), bucket(F.col("snap_t")) - 1)))
+    within = (F.col("snap_t") > F.col("t")) & (F.col("snap_t") <= F.col("t") + F.expr(f"INTERVAL {after} SECONDS"))
+    return left.join(right, (F.col("bucket") == F.col("snap_bucket")) & within, "left_outer").select("id", "t", "snap_t", "hex")
 
 
 def archive_sink(path: str, key: str, ordinal: str):
