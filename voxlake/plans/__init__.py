@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import airband, evaluation, journal, registry, signal, text
+from . import airband, evaluation, journal, registry, reports, signal, text
 
-MODULES = (journal, registry, text, evaluation, signal, airband)
+MODULES = (journal, registry, text, evaluation, signal, airband, reports)
 
 
 def queries() -> dict:
