@@ -46,7 +46,7 @@ REGISTERS = BANDS * ROWS
 CROWDED = 16
 #: Sizes of texts fall into classes of this ratio for the prefix filter.
 CLASS = 1.02
-#: Rows in an Arrow batch of bags of shingles or of pairs of them.
+#: Rows in an Arrow batch of texts, of bags of shingles or of pairs of them.
 BAGS_AT_ONCE = 256
 _GOLD, _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _LOWER = str.maketrans(UPPER, UPPER.lower())
@@ -166,7 +166,7 @@ def signatures(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """id, raw (hash of the text as it is), fp (hash of its words), bands: a slim row per document, written once."""
     text = F.col(f"`{text_col}`")
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), _raw(text).alias("raw"), F.pandas_udf(_signed, "fp binary, bands array<long>")(text).alias("s"))
-    return written(rows.select("id", "raw", "s.fp", "s.bands"), "signatures")
+    return _in_small_batches(rows.select("id", "raw", "s.fp", "s.bands"), "signatures")
 
 
 def _raw(text):
@@ -195,7 +195,7 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def _in_small_batches(df: DataFrame, name: str) -> DataFrame:
-    """Written with few rows in an Arrow batch, as each holds whole bags."""
+    """Written with few rows in an Arrow batch, as each holds a whole text or bag."""
     conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
     before = conf.get(key)
     conf.set(key, str(BAGS_AT_ONCE))
