@@ -110,7 +110,7 @@ def q_renamed_guesses(spark, sf_dir):
     rows = _table(spark, sf_dir, "events").select(
         (F.col("user_id") % 5).alias("channel"), F.col("event_id").alias("id"), seconds("ts").alias("at"), F.col("event_type").alias("vessel"), (F.col("event_id") % 2 == 0).alias("fuzzy")
     )
-    return linking.renamed_guesses(rows, "channel", "at", ttl=900, cutoff=30.0)
+    return linking.renamed_guesses(rows, "channel", "at", ttl=900, cutoff=10.0)
 
 
 def q_enriched(spark, sf_dir):
