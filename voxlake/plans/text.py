@@ -24,7 +24,7 @@ def q_hint_probes(spark, sf_dir):
 
 
 def q_doc_frequency_filter(spark, sf_dir):
-    probes = _turns(spark, sf_dir).select("conv_id", F.explode(T.hint_probes(F.col("text"), 2)).alias("probe"))
+    probes = _turns(spark, sf_dir).select("conv_id", F.explode(T.hint_probes(F.col("text"))).alias("probe"))
     return fuzzy.document_frequency(probes, "conv_id", "probe").filter("n > 1")
 
 
@@ -99,7 +99,7 @@ def q_ambiguous_names(spark, sf_dir):
 def q_shortlist(spark, sf_dir):
     """J16 over whole turns: ships are the different part names, each borne by its first part."""
     ships = _table(spark, sf_dir, "part").groupBy(F.upper("p_name").alias("name")).agg(F.min("p_partkey").cast("string").alias("mmsi"))
-    probes = _turns(spark, sf_dir).select("conv_id", F.posexplode(T.hint_probes(F.col("text"), 2)).alias("pos", "probe"))
+    probes = _turns(spark, sf_dir).select("conv_id", F.posexplode(T.hint_probes(F.col("text"))).alias("pos", "probe"))
     probes = probes.groupBy("conv_id", "probe").agg(F.min("pos").alias("pos"))
     return fuzzy.shortlist(probes, ships, "conv_id").select("conv_id", "mmsi", "name", "score", "heard", "rank")
 
@@ -176,8 +176,8 @@ ORACLES = {
 SELECT t.conv_id, t.turn, coalesce(p.probes, '') AS probes FROM conversations t
 LEFT JOIN (SELECT conv_id, turn, string_agg(probe, '|' ORDER BY n, i) AS probes FROM useful GROUP BY ALL) p USING (conv_id, turn)""",
     "q_doc_frequency_filter": f"""WITH {_PROBES}
-SELECT probe, count(DISTINCT conv_id) AS n FROM useful WHERE n <= 2 GROUP BY probe
-HAVING count(DISTINCT conv_id) > 1 AND count(DISTINCT conv_id) <= 0.05 * (SELECT count(DISTINCT conv_id) FROM useful WHERE n <= 2)""",
+SELECT probe, count(DISTINCT conv_id) AS n FROM useful WHERE n <= 4 GROUP BY probe
+HAVING count(DISTINCT conv_id) > 1 AND count(DISTINCT conv_id) <= 0.05 * (SELECT count(DISTINCT conv_id) FROM useful WHERE n <= 4)""",
     "q_prompt_echo": f"""
 WITH raw AS (SELECT doc_id, regexp_extract_all(text, '[^.\\n]*[.\\n]|[^.\\n]+$') AS pieces, text FROM documents),
 piece AS (SELECT doc_id, unnest(CASE WHEN text = '' THEN [''] WHEN right(text, 1) IN ('.', chr(10)) THEN list_append(pieces, '') ELSE pieces END) AS p FROM raw),
