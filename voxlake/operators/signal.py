@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -46,22 +47,42 @@ def duty_warning(found: DataFrame, capture: str, seconds: DataFrame) -> DataFram
     return seconds.join(used, capture, "left").select(capture, F.when(F.col("used_s").isNull(), "none").when(share > 0.5, "implausible").otherwise("ok").alias("warning"))
 
 
+def _in_order(rows: DataFrame, capture: str, frame: str) -> DataFrame:
+    """Each capture whole in one partition, its frames in order; Spark's sort spills, so that nothing holds a capture."""
+    return rows.repartition(capture).sortWithinPartitions(F.col(capture), F.col(frame).asc_nulls_last())
+
+
+def _begins(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[bool]]]:
+    """Each batch, and for each of its rows whether a capture (the first column) begins there. Null and NaN are captures of their own."""
+    last = _begins  # no capture
+    for batch in batches:
+        begins = []
+        for here in batch.column(0).to_pylist():
+            begins.append(not (here == last or (here != here and last != last)))
+            last = here
+        yield batch, begins
+
+
 def squelch(frames: DataFrame, capture: str, frame: str, power: str, threshold: float, rate: float, attack_ms: float = 5.0, release_ms: float = 100.0) -> DataFrame:
     """Frames with level (a follower with fast attack and slow release) and open. The coefficient depends on the level itself, so each capture is
-    followed in order, in one task: a frame is 8 bytes there."""
+    followed in order, in one task, which holds a batch and the level."""
     rise, fall = (float(np.exp(-1 / max(1.0, rate * ms / 1000))) for ms in (attack_ms, release_ms))
+    rows = frames.select(capture, frame, power)
 
-    def follow(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(frame)
-        values = rows[power].to_numpy(float)
-        level, out = values[0] if len(values) else 0.0, np.empty(len(values))
-        for i, p in enumerate(values):
-            keep = rise if p > level else fall
-            out[i] = level = keep * level + (1 - keep) * p
-        return rows.assign(level=out, open=out >= threshold)
+    def follow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        level = 0.0
+        for batch, begins in _begins(batches):
+            values, out = batch.column(2).cast(pa.float64()).to_numpy(zero_copy_only=False), np.empty(batch.num_rows)
+            for i, p in enumerate(values):
+                if begins[i]:
+                    level = p
+                keep = rise if p > level else fall
+                out[i] = level = keep * level + (1 - keep) * p
+            columns = [*batch.columns, pa.array(out, from_pandas=True), pa.array(out >= threshold)]
+            yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names, "level", "open"])
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in frames.select(capture, frame, power).schema.fields)
-    return frames.select(capture, frame, power).groupBy(capture).applyInPandas(follow, f"{fields}, level double, open boolean")
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
+    return _in_order(rows, capture, frame).mapInArrow(follow, f"{fields}, level double, open boolean")
 
 
 @dataclass(frozen=True)
@@ -88,40 +109,67 @@ def _noise(recent: list[float], share: float) -> float:
     return sorted(recent)[int(share * (len(recent) - 1))] if recent else 0.0
 
 
-def speech_chunks(levels: list[float], v: Vad = Vad()) -> list[tuple[int, int, int, int]]:
-    """First frame, end frame (exclusive), active and all frames of each chunk. The floor learns from quiet frames only, and decides what is quiet."""
-    chunks, quiet, recent, active, begun, silent, n_active, total = [], [], [], [], None, 0, 0, 0
-    for i, level in enumerate(levels):
-        if begun is None:
-            loud = level >= max(v.floor, _noise(quiet, v.share) * v.open_ratio)
+class Detector:
+    """The detector's state within a capture. The floor learns from quiet frames only, and decides what is quiet."""
+
+    def __init__(self, v: Vad):
+        self.v, self.at, self.begun, self.silent, self.n_active, self.total = v, 0, None, 0, 0, 0
+        self.quiet, self.recent, self.active = [], [], []
+
+    def push(self, level: float) -> tuple[int, int, int, int] | None:
+        """Takes the next frame; first frame, end frame (exclusive), active and all frames of the chunk that ends with it."""
+        v, i = self.v, self.at
+        self.at += 1
+        if self.begun is None:
+            loud = level >= max(v.floor, _noise(self.quiet, v.share) * v.open_ratio)
             if not loud:
-                quiet = (quiet + [level])[-v.window :]
-            active, recent = (active + [loud])[-v.onset_of :], (recent + [i])[-v.pre_roll :] if v.pre_roll else []
-            if sum(active) >= v.onset:
-                begun, total, n_active, silent, active = (recent[0] if recent else i + 1), len(recent), sum(active), 0, []
-                recent = []
-            continue
-        total += 1
-        loud = level >= max(v.floor, _noise(quiet, v.share) * v.close_ratio)
-        n_active, silent = (n_active + 1, 0) if loud else (n_active, silent + 1)
-        if silent >= v.hang:
-            if n_active >= v.least_active and n_active / total >= v.least_ratio:
-                chunks.append((begun, i + 1 - max(0, v.hang - v.tail), n_active, total))
-            quiet = (quiet + [level])[-v.window :]
-            begun, silent = None, 0
-        elif i + 1 - begun >= v.longest:
-            chunks.append((begun, i + 1, n_active, total))
-            begun, silent, n_active, total = i + 1, 0, 0, 0
-    return chunks
+                self.quiet = (self.quiet + [level])[-v.window :]
+            self.active, self.recent = (self.active + [loud])[-v.onset_of :], (self.recent + [i])[-v.pre_roll :] if v.pre_roll else []
+            if sum(self.active) >= v.onset:
+                self.begun, self.total = (self.recent[0] if self.recent else i + 1), len(self.recent)
+                self.n_active, self.silent, self.active, self.recent = sum(self.active), 0, [], []
+            return None
+        self.total += 1
+        loud = level >= max(v.floor, _noise(self.quiet, v.share) * v.close_ratio)
+        self.n_active, self.silent = (self.n_active + 1, 0) if loud else (self.n_active, self.silent + 1)
+        found = None
+        if self.silent >= v.hang:
+            if self.n_active >= v.least_active and self.n_active / self.total >= v.least_ratio:
+                found = (self.begun, i + 1 - max(0, v.hang - v.tail), self.n_active, self.total)
+            self.quiet = (self.quiet + [level])[-v.window :]
+            self.begun, self.silent = None, 0
+        elif i + 1 - self.begun >= v.longest:
+            found = (self.begun, i + 1, self.n_active, self.total)
+            self.begun, self.silent, self.n_active, self.total = i + 1, 0, 0, 0
+        return found
+
+
+def speech_chunks(levels: Iterable[float], v: Vad = Vad()) -> list[tuple[int, int, int, int]]:
+    """First frame, end frame (exclusive), active and all frames of each chunk."""
+    detector = Detector(v)
+    return [found for level in levels if (found := detector.push(level)) is not None]
 
 
 def voice_activity(frames: DataFrame, capture: str, frame: str, level: str, config: Vad = Vad()) -> DataFrame:
-    """Capture, chunk, first, end, active, total. Sequential within a capture; captures run in parallel."""
-    def detect(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(frame)
-        found = speech_chunks(rows[level].tolist(), config)
-        out = pd.DataFrame(found, columns=["first", "end", "active", "total"]).astype("int64")
-        return out.assign(**{capture: rows[capture].iloc[0], "chunk": range(len(out))})[[capture, "chunk", "first", "end", "active", "total"]]
+    """Capture, chunk, first, end, active, total. Sequential within a capture, of which a task holds a batch and the detector's state; captures
+    run in parallel."""
+    names = [capture, "chunk", "first", "end", "active", "total"]
+
+    def detect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        detector, chunk = Detector(config), 0
+        for batch, begins in _begins(batches):
+            values, at, chunks = batch.column(2).cast(pa.float64()).to_numpy(zero_copy_only=False).tolist(), [], []
+            for i, value in enumerate(values):
+                if begins[i]:
+                    detector, chunk = Detector(config), 0
+                if (found := detector.push(value)) is not None:
+                    at.append(i)
+                    chunks.append((chunk, *found))
+                    chunk += 1
+            if chunks:
+                columns = [pa.array(c, pa.int64()) for c in zip(*chunks, strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), *columns], names=names)
 
     kind = frames.schema[capture].dataType.simpleString()
-    return frames.select(capture, frame, level).groupBy(capture).applyInPandas(detect, f"`{capture}` {kind}, chunk long, first long, end long, active long, total long")
+    rows = _in_order(frames.select(capture, frame, level), capture, frame)
+    return rows.mapInArrow(detect, f"`{capture}` {kind}, chunk long, first long, end long, active long, total long")
