@@ -3,7 +3,10 @@
 A page becomes a tree of elements. Paragraphs pass points for length and commas to their ancestors (all to the parent, half to the
 grandparent, a third further up), discounted by the share of their text that is link text. The container with the most points, and those of its siblings
 that score near it or are prose themselves, are the article. What can't be article text never enters the tree: scripts, styles,
-forms, menus, page headers and footers, sidebars, adverts, notices and reader comments, by element or by the words of class, id and role.
+forms, menus, page headers and footers, sidebars, adverts, notices and reader comments, by element or by whole tokens of class, id and role.
+A token discards nothing that holds more than half of the page's prose, or of the prose inside article and main elements; a word within a longer
+token ('has-sidebar') only takes three quarters of the points. Article and main elements weigh half as much again, and the one around the
+container with the most points is taken whole.
 
 The text of the article comes in page order, one line per block: character references decoded, white space runs turned into one
 space, blocks trimmed, empty ones left out. Nothing else is dropped or cut.
@@ -35,12 +38,19 @@ PROSE = frozenset("p pre blockquote li dd dt td h1 h2 h3 h4 h5 h6 figcaption".sp
 #: Never article text, whatever they hold.
 SKIPPED = frozenset("script style noscript template iframe object svg math canvas head title form button select textarea input nav aside footer menu dialog".split())
 #: Words of class, id or role that mark what isn't article text.
-UNWANTED = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adverts?|advertisements?|advertising|banner|breadcrumbs?|comments?|commentlist|cookies?|consent|contentinfo|disqus|footer|gdpr"
+WORDS = (
+    r"(?:ads?|adverts?|advertisements?|advertising|banner|breadcrumbs?|comments?|commentlist|cookies?|consent|contentinfo|disqus|footer|gdpr"
     r"|(?:site|page|top|global)[_-]?header|masthead|menus?|modal|nav|navbar|navigation|newsletter|notices?|pager|pagination|popup|promos?|promoted|related|replies|search|share|sharing"
-    r"|sidebar|sidenav|skip|social|sponsors?|sponsored|subscribe|toolbar|topbar|widgets?|complementary|alert|aside)(?:$|[\s_-]|\d)",
-    re.IGNORECASE,
+    r"|sidebar|sidenav|skip|social|sponsors?|sponsored|subscribe|toolbar|topbar|widgets?|complementary|alert|aside)"
 )
+#: A whole token of such words discards an element; one among other words of a token only makes it weigh less.
+UNWANTED = re.compile(rf"(?:^|\s){WORDS}(?:[_-]+{WORDS})*\d*(?:$|\s)", re.IGNORECASE)
+DOUBTFUL = re.compile(rf"(?:^|[\s_-]){WORDS}(?:$|[\s_-]|\d)", re.IGNORECASE)
+#: What readers wrote may be longer than the article.
+READERS = re.compile(r"(?:^|\s)(?:comments?|commentlist|disqus|replies)\d*(?:$|\s)", re.IGNORECASE)
+DOUBT = 0.25
+NAMED = ("article", "main")
+NAMED_WEIGHT = 1.5
 #: An element of the first kind ends an open one of the second, inside the nearest of the third.
 ENDED_BY = {
     "li": (("li",), ("ul", "ol", "menu")), "dt": (("dt", "dd"), ("dl",)), "dd": (("dt", "dd"), ("dl",)), "option": (("option",), ("select",)),
@@ -51,17 +61,19 @@ SPACE = re.compile(r"\s+")
 
 
 class Node:
-    __slots__ = ("tag", "parent", "items", "points", "length", "links", "commas", "wanted")
+    __slots__ = ("tag", "parent", "items", "points", "length", "links", "commas", "wanted", "marked", "readers", "weight")
 
     def __init__(self, tag: str, parent: Node | None, wanted: bool = True):
         self.tag, self.parent, self.wanted = tag, parent, wanted
         self.items: list[Node | str] = []
         self.points = 0.0
         self.length = self.links = self.commas = 0
+        self.marked = self.readers = False
+        self.weight = NAMED_WEIGHT if tag in NAMED else 1.0
 
 
 class Tree(HTMLParser):
-    """Builds the tree. An unwanted element and all below it is kept out of the text."""
+    """Builds the tree. A skipped or hidden element and all below it is kept out of the text, a marked one until the page is known."""
 
     CDATA_CONTENT_ELEMENTS = ("script", "style")
 
@@ -76,13 +88,18 @@ class Tree(HTMLParser):
         if tag in ENDED_BY:
             self._end(*ENDED_BY[tag])
         wanted = self.at.wanted and tag not in SKIPPED
+        marked = readers = doubtful = False
         if wanted and tag not in ("html", "body", "article", "main"):
             marks = " ".join(v for k, v in attrs if k in ("class", "id", "role") and v)
             hidden = any(k in ("hidden", "aria-hidden") and v != "false" for k, v in attrs) or "display:none" in (dict(attrs).get("style") or "").replace(" ", "")
             inside = self._inside("article", "main")
             bare = any(v.strip().lower() == "header" for k, v in attrs if k in ("class", "id", "role") and v)
-            wanted = not hidden and not (marks and UNWANTED.search(marks)) and not ((bare or tag == "header") and not inside)
+            wanted = not hidden and not ((bare or tag == "header") and not inside)
+            marked, readers, doubtful = bool(UNWANTED.search(marks)), bool(READERS.search(marks)), bool(DOUBTFUL.search(marks))
         node = Node(tag, self.at, wanted)
+        node.marked, node.readers = marked, readers
+        if doubtful:
+            node.weight = DOUBT
         self.at.items.append(node)
         self.nodes.append(node)
         if tag not in VOID:
@@ -120,6 +137,31 @@ class Tree(HTMLParser):
             node = node.parent
 
 
+def _discard(tree: Tree) -> None:
+    """Marked elements and all below them become unwanted, but for those that hold more than half of the page's prose, or of the prose inside
+    article and main elements. What readers wrote doesn't count as prose, unless the page has no other: then nothing is discarded."""
+    if not any(node.marked for node in tree.nodes):
+        return
+    # Prose at and below each node, and the part of it inside article and main elements; where a node stands: in a link, in a named element, apart.
+    prose, places = {id(tree.root): [0, 0]}, {id(tree.root): (False, False, False)}
+    for node in tree.nodes:
+        linked, named, apart = places[id(node.parent)]
+        linked, named, apart = places[id(node)] = linked or node.tag == "a", named or node.tag in NAMED, apart or node.readers or not node.wanted
+        n = 0 if linked or apart else sum(len(item.strip()) for item in node.items if isinstance(item, str))
+        prose[id(node)] = [n, n if named else 0]
+    for node in reversed(tree.nodes):
+        above = prose[id(node.parent)]
+        above[0] += prose[id(node)][0]
+        above[1] += prose[id(node)][1]
+    whole = prose[id(tree.root)]
+    if not whole[0]:
+        return
+    for node in tree.nodes:
+        most = any(2 * part > all_of_it for part, all_of_it in zip(prose[id(node)], whole, strict=True))
+        if not node.parent.wanted or node.marked and not most:
+            node.wanted = False
+
+
 def _measure(tree: Tree) -> None:
     """Text length, link text length and commas of every wanted node, from the leaves up: nodes stand after their parents."""
     for node in reversed(tree.nodes):
@@ -154,8 +196,13 @@ def _article(tree: Tree) -> list[Node]:
             up, share = up.parent, share + 1
     if not scored:
         return [tree.root]
-    named = [n for n in scored if n.tag in ("article", "main")]
-    best = max(named or scored, key=lambda n: n.points)
+    for node in dict.fromkeys(scored):
+        node.points *= node.weight
+    best = max(scored, key=lambda n: n.points)
+    named = best
+    while named is not None and named.tag not in NAMED:
+        named = named.parent
+    best = named or best  # the article or main element around the container is the article
     while best.parent is not None and best.tag not in BLOCK:
         best = best.parent  # an inline element that a broken page wraps around paragraphs isn't the container
     if best.parent is None:
@@ -212,6 +259,7 @@ def main_text(html: str | None) -> str:
     tree = Tree()
     tree.feed(html)
     tree.close()
+    _discard(tree)
     return "\n".join(_blocks(_article(tree)))
 
 
