@@ -1,27 +1,29 @@
 """Operator 1, HTML extraction: tree scoring.
 
-A page becomes a tree of elements. Paragraphs pass points for length and commas to their ancestors (all to the parent, half to the
-grandparent, a third further up), discounted by the share of their text that is link text. The container with the most points, and those of its siblings
+A page becomes a tree of elements. Paragraphs pass points for length and commas to their ancestors (all to the parent; each container passes half of
+its own on), discounted by the share of their text that is link text. The container with the most points, and those of its siblings
 that score near it or are prose themselves, are the article. What can't be article text never enters the tree: scripts, styles,
 forms, menus, page headers and footers, sidebars, adverts, notices and reader comments, by element or by whole tokens of class, id and role.
-A token discards nothing that holds more than half of the page's prose, or of the prose inside article and main elements; a word within a longer
+A token discards no wrapper whose elements hold more than half of the page's prose, or of the prose inside article and main elements; a word within a longer
 token ('has-sidebar') only takes three quarters of the points. Article and main elements weigh half as much again, and the one around the
-container with the most points is taken whole.
+container with the most points is taken whole. Outside of those, a list that is link text nearly all over and in short pieces is a menu without the name.
 
 The text of the article comes in page order, one line per block: character references decoded, white space runs turned into one
 space, blocks trimmed, empty ones left out. Nothing else is dropped or cut.
 
 Defined cases: null or empty html, and html without text, give an empty text and 0 characters; broken markup is read as browsers do
-(unclosed paragraphs, list items and cells end where the next one starts, stray end tags are ignored); equal rows get equal results; an
+(unclosed paragraphs, list items and cells end where the next one starts, stray end tags are ignored, '<![' and '<?' up to the next '>' are
+comments, a tag or comment that the end of the page cuts off is dropped); equal rows get equal results; an
 empty table gives an empty result; input columns named like an output column are replaced. Pages are read whole; the work
-grows with the page's length.
+grows with the page's length, however deep its elements are nested.
 """
 
 from __future__ import annotations
 
 import re
+from collections import defaultdict
 from collections.abc import Iterator
-from html.parser import HTMLParser
+from html import unescape
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -36,12 +38,12 @@ BLOCK = frozenset(
 )
 PROSE = frozenset("p pre blockquote li dd dt td h1 h2 h3 h4 h5 h6 figcaption".split())
 #: Never article text, whatever they hold.
-SKIPPED = frozenset("script style noscript template iframe object svg math canvas head title form button select textarea input nav aside footer menu dialog".split())
+SKIPPED = frozenset("script style noscript template iframe svg canvas head title form button select textarea input nav aside footer menu dialog".split())
 #: Words of class, id or role that mark what isn't article text.
 WORDS = (
     r"(?:ads?|adverts?|advertisements?|advertising|banner|breadcrumbs?|comments?|commentlist|cookies?|consent|contentinfo|disqus|footer|gdpr"
     r"|(?:site|page|top|global)[_-]?header|masthead|menus?|modal|nav|navbar|navigation|newsletter|notices?|pager|pagination|popup|promos?|promoted|related|replies|search|share|sharing"
-    r"|sidebar|sidenav|skip|social|sponsors?|sponsored|subscribe|toolbar|topbar|widgets?|complementary|alert|aside)"
+    r"|sidebar|sidenav|skip|social|sponsors?|sponsored|subscribe|toolbar|topbar|widgets?|complementary|aside)"
 )
 #: A whole token of such words discards an element; one among other words of a token only makes it weigh less.
 UNWANTED = re.compile(rf"(?:^|\s){WORDS}(?:[_-]+{WORDS})*\d*(?:$|\s)", re.IGNORECASE)
@@ -58,31 +60,97 @@ ENDED_BY = {
 }
 CLOSES_P = BLOCK - frozenset("body caption html tbody td tfoot th thead tr li dd dt".split())
 SPACE = re.compile(r"\s+")
+#: Their content is no markup: it ends at their end tag, or (the second kind, where it has none) isn't special.
+RAW, RAW_IF_CLOSED = frozenset(["script", "style"]), frozenset("title textarea iframe noembed noframes".split())
+#: Menu entries have no more characters than this on average.
+MENU_ENTRY = 40
+_tag_name, _tag_end = re.compile(r"[a-zA-Z][^\s/>]*"), re.compile(r"[\s/]*>")
+_attribute = re.compile(r"""[\s/]*([^\s/>][^\s/>=]*)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>][^\s>]*)))?""")
+_unclosed_value = re.compile(r"""[\s/]*[^\s/>][^\s/>=]*\s*=\s*["']""")
+_comment_end = re.compile(r"--!?>")
 
 
 class Node:
-    __slots__ = ("tag", "parent", "items", "points", "length", "links", "commas", "wanted", "marked", "readers", "weight")
+    __slots__ = ("tag", "parent", "items", "points", "length", "links", "commas", "n_links", "wanted", "named", "marked", "readers", "weight")
 
     def __init__(self, tag: str, parent: Node | None, wanted: bool = True):
         self.tag, self.parent, self.wanted = tag, parent, wanted
         self.items: list[Node | str] = []
         self.points = 0.0
-        self.length = self.links = self.commas = 0
+        self.length = self.links = self.commas = self.n_links = 0
+        self.named = tag in NAMED or parent is not None and parent.named
         self.marked = self.readers = False
         self.weight = NAMED_WEIGHT if tag in NAMED else 1.0
 
 
-class Tree(HTMLParser):
-    """Builds the tree. A skipped or hidden element and all below it is kept out of the text, a marked one until the page is known."""
+def _attributes(html: str, at: int) -> tuple[dict[str, str], int]:
+    """Class, id, role, hidden, aria-hidden and style of the tag whose attributes start at a position, and where the tag ends (-1: it is cut off)."""
+    found = {}
+    while not (end := _tag_end.match(html, at)):
+        one = _attribute.match(html, at)
+        if one is None or one[2] is one[3] is one[4] is None and _unclosed_value.match(html, at):
+            return found, -1
+        found.setdefault(one[1].lower(), next((v for v in one.groups()[1:] if v is not None), ""))
+        at = one.end()
+    return found, end.end()
+
 
-    CDATA_CONTENT_ELEMENTS = ("script", "style")
+class Tree:
+    """Builds the tree. A skipped or hidden element and all below it is kept out of the text, a marked one until the page is known."""
 
-    def __init__(self):
-        super().__init__(convert_charrefs=True)
+    def __init__(self, html: str):
         self.root = self.at = Node("#root", None)
         self.nodes: list[Node] = []
-
-    def handle_starttag(self, tag, attrs):
+        self.path = [self.root]
+        #: For each tag the places on the path where it is open.
+        self.open: dict[str, list[int]] = defaultdict(list)
+        self._read(html)
+
+    def _read(self, html: str) -> None:
+        at, n = 0, len(html)
+        never_ended = set()
+        while at < n:
+            mark = html.find("<", at)
+            if mark < 0:
+                mark = n
+            if self.at.wanted and mark > at:
+                self.at.items.append(unescape(html[at:mark]))
+            at = mark
+            if mark == n:
+                return
+            follows = html[mark + 1 : mark + 2]
+            if html.startswith("<!--", mark):
+                end = _comment_end.search(html, mark + 2)
+                at = end.end() if end else n
+            elif follows in ("!", "?") or follows == "/" and not _tag_name.match(html, mark + 2):
+                at = self._after(html, mark)
+            elif follows == "/":
+                self._end((_tag_name.match(html, mark + 2)[0].lower(),), ())
+                at = self._after(html, mark)
+            elif name := _tag_name.match(html, mark + 1):
+                attributes, at = _attributes(html, name.end())
+                if at < 0:
+                    return
+                tag = name[0].lower()
+                self._start(tag, attributes)
+                if tag in RAW or tag in RAW_IF_CLOSED and tag not in never_ended:
+                    end = re.compile(rf"</{tag}(?=[\s/>])", re.IGNORECASE).search(html, at)
+                    at = end.start() if end else n if tag in RAW else at
+                    if not end:
+                        never_ended.add(tag)
+                elif html[at - 2] == "/" and tag in ("svg", "math"):
+                    self._end((tag,), ())
+            else:
+                if self.at.wanted:
+                    self.at.items.append("<")
+                at = mark + 1
+
+    @staticmethod
+    def _after(html: str, mark: int) -> int:
+        end = html.find(">", mark)
+        return len(html) if end < 0 else end + 1
+
+    def _start(self, tag: str, attributes: dict[str, str]) -> None:
         if tag in CLOSES_P:
             self._end(("p",), ("button", "td", "th", "table", "object"))
         if tag in ENDED_BY:
@@ -90,11 +158,11 @@ class Tree(HTMLParser):
         wanted = self.at.wanted and tag not in SKIPPED
         marked = readers = doubtful = False
         if wanted and tag not in ("html", "body", "article", "main"):
-            marks = " ".join(v for k, v in attrs if k in ("class", "id", "role") and v)
-            hidden = any(k in ("hidden", "aria-hidden") and v != "false" for k, v in attrs) or "display:none" in (dict(attrs).get("style") or "").replace(" ", "")
-            inside = self._inside("article", "main")
-            bare = any(v.strip().lower() == "header" for k, v in attrs if k in ("class", "id", "role") and v)
-            wanted = not hidden and not ((bare or tag == "header") and not inside)
+            values = [attributes[k] for k in ("class", "id", "role") if attributes.get(k)]
+            marks = unescape(" ".join(values)) if values else ""
+            hidden = any(attributes.get(k, "false") != "false" for k in ("hidden", "aria-hidden")) or "display:none" in attributes.get("style", "").replace(" ", "")
+            bare = any(v.strip().lower() == "header" for v in values)
+            wanted = not hidden and not ((bare or tag == "header") and not self.at.named)
             marked, readers, doubtful = bool(UNWANTED.search(marks)), bool(READERS.search(marks)), bool(DOUBTFUL.search(marks))
         node = Node(tag, self.at, wanted)
         node.marked, node.readers = marked, readers
@@ -104,51 +172,32 @@ class Tree(HTMLParser):
         self.nodes.append(node)
         if tag not in VOID:
             self.at = node
-
-    def handle_startendtag(self, tag, attrs):
-        self.handle_starttag(tag, attrs)
-        if tag not in VOID and tag not in ("svg", "math"):
-            return
-        if self.at.tag == tag:
-            self.at = self.at.parent
-
-    def handle_endtag(self, tag):
-        self._end((tag,), ())
-
-    def handle_data(self, data):
-        if self.at.wanted:
-            self.at.items.append(data)
-
-    def _inside(self, *tags: str) -> bool:
-        node = self.at
-        while node is not None:
-            if node.tag in tags:
-                return True
-            node = node.parent
-        return False
+            self.open[tag].append(len(self.path))
+            self.path.append(node)
 
     def _end(self, tags, within) -> None:
         """Closes up to the nearest open element of these tags, if none of within stands before it."""
-        node = self.at
-        while node is not None and node.tag not in within:
-            if node.tag in tags:
-                self.at = node.parent
-                return
-            node = node.parent
+        place = max((self.open[t][-1] for t in tags if self.open[t]), default=0)
+        if place <= max((self.open[t][-1] for t in within if self.open[t]), default=0):
+            return
+        while len(self.path) > place:
+            self.open[self.path.pop().tag].pop()
+        self.at = self.path[-1]
 
 
 def _discard(tree: Tree) -> None:
-    """Marked elements and all below them become unwanted, but for those that hold more than half of the page's prose, or of the prose inside
-    article and main elements. What readers wrote doesn't count as prose, unless the page has no other: then nothing is discarded."""
+    """Marked elements and all below them become unwanted, but for wrappers: those with elements below them that hold more than half of the page's
+    prose, or of the prose inside article and main elements. What readers wrote doesn't count as prose, unless the page has no other: then nothing is discarded."""
     if not any(node.marked for node in tree.nodes):
         return
     # Prose at and below each node, and the part of it inside article and main elements; where a node stands: in a link, in a named element, apart.
-    prose, places = {id(tree.root): [0, 0]}, {id(tree.root): (False, False, False)}
+    prose, places, own = {id(tree.root): [0, 0]}, {id(tree.root): (False, False, False)}, {}
     for node in tree.nodes:
         linked, named, apart = places[id(node.parent)]
         linked, named, apart = places[id(node)] = linked or node.tag == "a", named or node.tag in NAMED, apart or node.readers or not node.wanted
         n = 0 if linked or apart else sum(len(item.strip()) for item in node.items if isinstance(item, str))
-        prose[id(node)] = [n, n if named else 0]
+        own[id(node)] = (n, n if named else 0)
+        prose[id(node)] = list(own[id(node)])
     for node in reversed(tree.nodes):
         above = prose[id(node.parent)]
         above[0] += prose[id(node)][0]
@@ -157,7 +206,7 @@ def _discard(tree: Tree) -> None:
     if not whole[0]:
         return
     for node in tree.nodes:
-        most = any(2 * part > all_of_it for part, all_of_it in zip(prose[id(node)], whole, strict=True))
+        most = any(2 * (part - mine) > all_of_it for part, mine, all_of_it in zip(prose[id(node)], own[id(node)], whole, strict=True))
         if not node.parent.wanted or node.marked and not most:
             node.wanted = False
 
@@ -176,27 +225,29 @@ def _measure(tree: Tree) -> None:
                 node.length += item.length
                 node.links += item.links
                 node.commas += item.commas
+                node.n_links += item.n_links
         if node.tag == "a":
-            node.links = node.length
+            node.links, node.n_links = node.length, 1
 
 
 def _article(tree: Tree) -> list[Node]:
     _measure(tree)
-    scored: list[Node] = []
-    for node in tree.nodes:
-        own_text = node.tag not in PROSE and any(isinstance(i, str) and i.strip() for i in node.items)
-        if not node.wanted or not node.length or not (node.tag in PROSE or own_text and node.tag in BLOCK):
+    # From the leaves up, as nodes stand after their parents: what a container has when its turn comes, all below it have given.
+    for node in reversed(tree.nodes):
+        if not node.wanted or not node.length:
             continue
-        points = (1 + node.commas + min(node.length / 100, 3)) * (1 - node.links / node.length)
-        up, share = node if own_text else node.parent, 1
-        while up is not None:
-            if up.points == 0:
-                scored.append(up)
-            up.points += points / share
-            up, share = up.parent, share + 1
+        node.parent.points += node.points / 2
+        own_text = node.tag in BLOCK and any(isinstance(i, str) and i.strip() for i in node.items)
+        if node.tag in PROSE or own_text:
+            points = (1 + node.commas + min(node.length / 100, 3)) * (1 - node.links / node.length)
+            if node.tag not in PROSE:
+                node.points += points
+                points /= 2
+            node.parent.points += points
+    scored = [node for node in (tree.root, *tree.nodes) if node.points]
     if not scored:
         return [tree.root]
-    for node in dict.fromkeys(scored):
+    for node in scored:
         node.points *= node.weight
     best = max(scored, key=lambda n: n.points)
     named = best
@@ -211,7 +262,7 @@ def _article(tree: Tree) -> list[Node]:
     for item in best.parent.items:
         if isinstance(item, str) or not item.wanted:
             continue
-        near = item.points >= max(10, 0.2 * best.points) and item.tag in BLOCK
+        near = item.points >= max(0 if item.tag in NAMED else 10, 0.2 * best.points) and item.tag in BLOCK
         prose = item.tag == "p" and item.length > 80 and item.links < 0.25 * item.length
         if item is best or near or prose or item.tag == "h1":
             keep.append(item)
@@ -219,8 +270,9 @@ def _article(tree: Tree) -> list[Node]:
 
 
 def _link_list(node: Node) -> bool:
-    """A list or table that is link text nearly all over: a menu without the name."""
-    return node.tag in ("ul", "ol", "table", "dl") and node.links > 0.8 * node.length
+    """A list or table outside of article and main elements that is link text nearly all over, in short pieces: a menu without the name."""
+    menu = node.tag in ("ul", "ol", "table", "dl") and not node.named
+    return menu and node.n_links > 0 and node.links > 0.8 * node.length and node.links <= MENU_ENTRY * node.n_links
 
 
 def _blocks(nodes: list[Node]) -> list[str]:
@@ -256,9 +308,7 @@ def main_text(html: str | None) -> str:
     """The article's text, one block per line."""
     if not html:
         return ""
-    tree = Tree()
-    tree.feed(html)
-    tree.close()
+    tree = Tree(html)
     _discard(tree)
     return "\n".join(_blocks(_article(tree)))
 
