@@ -4,15 +4,15 @@ A revisit record (304 Not Modified) holds no body: it stands for the latest full
 earlier. That response is found by an as-of join, its validators are checked against the revisit's (ETag, compared weakly; else
 Last-Modified), and the headers that a 304 may update replace the stored ones.
 
-The as-of join is a window over (URL, block of time). Each block starts with the last full response of earlier blocks, found from one row
-per URL and block, so that a URL with a third of all records spreads over 256 windows. Only times, ids and validators go through the
-window; headers and bodies are joined back by record id.
+The as-of join is a window over (URL, block of time). Blocks hold about equal numbers of records, and each starts with the last full response of
+earlier blocks, found from one row per URL and block, so that a URL with a third of all records spreads over many windows. Only times, ids and
+validators go through the window; headers and bodies are joined back once, last.
 
 Defined cases: a revisit with no earlier full response is 'no_response', one without a validator in common with it 'no_validator', one whose
 validator differs 'mismatch', else it is 'resolved'; only resolved ones get headers and body. Earlier means at a smaller time; of full responses at
 one time the greatest record id counts. A null URL or time never finds a response; null headers are none; header names compare in lower
-case, the first of equal names wins; record ids are unique in WARC, equal rows of a repeated id are used once; an empty table gives an empty
-result; other columns are not read.
+case, the first of equal names wins. Records are told apart by all their columns, not by their id: equal rows are one record, different rows that
+share an id, or have none, are different records. An empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -21,6 +21,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .common import written
+
 BLOCKS = 256
 #: Fields that a 304 doesn't change in a stored response (body framing and hop-by-hop fields), lower case.
 NOT_UPDATED = (
@@ -62,17 +64,23 @@ def _weak(etag: Column) -> Column:
 def resolve(records: DataFrame) -> DataFrame:
     """records (record_id, url, at long, kind 'response' or 'revisit', status int, headers map, body) -> one row per revisit:
     record_id, url (canonical), at, response_id, resolution, headers, body."""
+    columns = [F.col(c) for c in ("record_id", "url", "at", "kind", "status")]
+    whole = F.struct(*columns, F.map_entries("headers").alias("headers"), F.md5(F.col("body").cast("binary")).alias("body"))
     records = records.select(
-        "record_id", canonical_url(F.col("url")).alias("url"), "at", "kind", "status", _lower_names(F.col("headers")).alias("headers"), "body"
-    ).dropDuplicates(["record_id"])
-    full = (F.col("kind") == "response") & (F.col("status") == 200)
-    stored = F.when(full, F.struct("at", "record_id", F.col("headers")["etag"].alias("etag"), F.col("headers")["last-modified"].alias("modified")))
-    slim = records.filter(full | (F.col("kind") == "revisit")).select(
-        "record_id", "url", "at", "kind", F.col("headers")["etag"].alias("etag"), F.col("headers")["last-modified"].alias("modified"), stored.alias("stored")
+        F.unhex(F.md5(F.to_json(whole, {"ignoreNullFields": "false"}).cast("binary"))).alias("key"),
+        "record_id", canonical_url(F.col("url")).alias("url"), "at", "kind", "status", _lower_names(F.col("headers")).alias("headers"), "body",
     )
-    low, high = slim.agg(F.min("at"), F.max("at")).first()
-    width = max(1, ((high or 0) - (low or 0)) // BLOCKS + 1)
-    slim = slim.withColumn("block", F.floor((F.col("at") - F.lit(low or 0)) / width))
+    full = F.coalesce((F.col("kind") == "response") & (F.col("status") == 200), F.lit(False))
+    stored = F.when(full, F.struct("at", "record_id", "key", F.col("headers")["etag"].alias("etag"), F.col("headers")["last-modified"].alias("modified")))
+    slim = records.filter(full | (F.col("kind") == "revisit")).select(
+        "key", "record_id", "url", "at", "kind", F.col("headers")["etag"].alias("etag"), F.col("headers")["last-modified"].alias("modified"), stored.alias("stored")
+    ).dropDuplicates(["key"])
+    slim = written(slim, "crawl-times")
+    # Blocks of time with about as many records each; what a block holds doesn't change the result.
+    marks = [i / BLOCKS for i in range(1, BLOCKS)]
+    bounds = slim.agg(F.percentile_approx("at", marks)).first()[0] or []
+    bounds = F.array(*[F.lit(x).cast("long") for x in sorted(set(bounds))]) if bounds else F.array().cast("array<long>")
+    slim = slim.withColumn("block", F.when(F.col("at").isNotNull(), F.size(F.filter(bounds, lambda x: x <= F.col("at")))))
     timed = slim.filter(F.col("url").isNotNull() & F.col("at").isNotNull())
     # The last full response of each block, carried into the next block of the URL that has any record.
     ends = timed.groupBy("url", "block").agg(F.max("stored").alias("end"))
@@ -80,22 +88,25 @@ def resolve(records: DataFrame) -> DataFrame:
     carried = ends.withColumn("stored", F.last("end", ignorenulls=True).over(before)).filter("stored IS NOT NULL").select("url", "block", "stored")
     rows = timed.unionByName(carried.withColumn("kind", F.lit("carried")).withColumn("at", F.col("stored.at")), allowMissingColumns=True)
     # At one time, revisits come first: an earlier response is one at a smaller time.
-    order = Window.partitionBy("url", "block").orderBy("at", F.when(F.col("kind") == "revisit", 0).otherwise(1), F.col("stored.record_id"))
+    order = Window.partitionBy("url", "block").orderBy("at", F.when(F.col("kind") == "revisit", 0).otherwise(1), F.col("stored.record_id"), F.col("stored.key"))
     found = rows.withColumn("found", F.last("stored", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1)))
-    asked = found.filter("kind = 'revisit'").select("record_id", "etag", "modified", "found")
+    asked = found.filter("kind = 'revisit'").select("key", "record_id", "url", "at", "etag", "modified", "found")
     untimed = slim.filter((F.col("kind") == "revisit") & (F.col("url").isNull() | F.col("at").isNull()))
-    asked = asked.unionByName(untimed.select("record_id", "etag", "modified"), allowMissingColumns=True)
+    asked = asked.unionByName(untimed.select("key", "record_id", "url", "at", "etag", "modified"), allowMissingColumns=True)
     by_etag = _weak(F.col("etag")) == _weak(F.col("found.etag"))
     by_date = F.col("modified") == F.col("found.modified")
     same = F.coalesce(by_etag, by_date)
     resolution = F.when(F.col("found").isNull(), "no_response").when(same.isNull(), "no_validator").when(same, "resolved").otherwise("mismatch")
-    judged = asked.select("record_id", F.col("found.record_id").alias("response_id"), resolution.alias("resolution"))
-    revisits = records.filter("kind = 'revisit'").select("record_id", "url", "at", F.col("headers").alias("own")).join(judged, "record_id")
-    bodies = records.filter(full).select(F.col("record_id").alias("stored_id"), F.col("headers").alias("stored_headers"), "body")
-    on = (revisits["response_id"] == bodies["stored_id"]) & (revisits["resolution"] == "resolved")
-    return revisits.join(bodies, on, "left").select(
+    judged = asked.select(
+        "key", "record_id", "url", "at", F.col("found.record_id").alias("response_id"), resolution.alias("resolution"),
+        F.when(resolution == "resolved", F.col("found.key")).alias("stored_key"),
+    )
+    # Equal rows have one key: one of each. Grouped and joined by the same key, so that headers and bodies are shuffled once.
+    own = records.filter("kind = 'revisit'").groupBy("key").agg(F.first("headers").alias("own"))
+    bodies = records.filter(full).groupBy(F.col("key").alias("stored_key")).agg(F.first("headers").alias("stored_headers"), F.first("body").alias("body"))
+    return judged.join(own, "key").join(bodies, "stored_key", "left").select(
         "record_id", "url", "at", "response_id", "resolution",
-        F.when(F.col("stored_id").isNotNull(), merged_headers(F.col("stored_headers"), F.col("own"))).alias("headers"), "body",
+        F.when(F.col("stored_key").isNotNull(), merged_headers(F.col("stored_headers"), F.col("own"))).alias("headers"), "body",
     )
 
 
