@@ -9,8 +9,9 @@ beyond it the same join shuffles.
 A document's result depends on its text alone, so hits are gathered by text (a 128-bit hash), once for all copies of a text,
 and joined back to the documents; Spark can split a text with very many copies there.
 
-Defined cases: a null or empty text has no words and is clean; an item without words has no window; equal items count
-as different items; equal rows each get the result; an empty benchmark or corpus gives clean or no rows; input columns named
+Defined cases: a null or empty text has no words and is clean; an item without words has no window; items are told apart by their ids, so rows
+that share an id are one item (those without an id too: it counts, first in items as null), and equal texts under different ids are different
+items; equal rows each get the result; an empty benchmark or corpus gives clean or no rows; input columns named
 like an output column are replaced. Texts are scanned whole.
 """
 
@@ -53,23 +54,25 @@ def hits(docs: DataFrame, windows: DataFrame) -> DataFrame:
         return docs.select("fp", F.lit(0).alias("at"), F.lit(0).alias("n"), F.col("tokens").alias("gram")).limit(0)
     if sum(r["bytes"] for r in sizes) <= BROADCAST_BYTES:
         grams = F.broadcast(grams)
-    found = None
-    for n in lengths:
-        long_enough = docs.filter(F.size("tokens") >= n)
-        places = long_enough.select("fp", "tokens", F.explode(F.sequence(F.lit(1), F.size("tokens") - (n - 1))).alias("at"))
-        scanned = places.withColumn("h", _hash(lambda i: F.get("tokens", F.col("at") - 1 + i), F.lit(n)))
-        own = F.slice("tokens", F.col("at"), n)
-        # The hash alone is the join's key; equality of the words, written so that it is no key, is the check.
-        same = (scanned["h"] == grams["h"]) & (grams["n"] == n) & (own <= grams["gram"]) & (own >= grams["gram"])
-        one = scanned.join(grams, same).select("fp", "at", "n", "gram")
-        found = one if found is None else found.unionByName(one)
-    return found.distinct()
+    # One scan: at each word, a window of each length that occurs and fits.
+    places = docs.filter(F.size("tokens") >= lengths[0])
+    places = places.select("fp", "tokens", F.explode(F.sequence(F.lit(1), F.size("tokens") - (lengths[0] - 1))).alias("at"))
+    kinds = [F.struct(F.lit(n).alias("n"), _hash(lambda i: F.get("tokens", F.col("at") - 1 + i), F.lit(n)).alias("h")) for n in lengths]
+    if len(lengths) == 1:
+        scanned = places.withColumn("w", kinds[0])
+    else:
+        scanned = places.withColumn("w", F.explode(F.filter(F.array(*kinds), lambda w: w["n"] <= F.size("tokens") - F.col("at") + 1)))
+    scanned = scanned.select("fp", "tokens", "at", F.col("w.n").alias("length"), F.col("w.h").alias("own_h"))
+    own = F.slice("tokens", F.col("at"), F.col("length"))
+    # The hash alone is the join's key; equality of the words, written so that it is no key, is the check.
+    same = (F.col("own_h") == F.col("h")) & (F.col("n") <= F.col("length")) & (F.col("n") >= F.col("length")) & (own <= F.col("gram")) & (own >= F.col("gram"))
+    return scanned.join(grams, same).select("fp", "at", "n", "gram").distinct()
 
 
 def contamination(
     docs: DataFrame, benchmark: DataFrame, *, size: int = WINDOW, percent: int = 5, item_col: str = "item_id", text_col: str = "text"
 ) -> DataFrame:
-    """docs with n_words, n_hit (words inside an occurring window), items (sorted ids of the items with occurring windows),
+    """docs with n_words, n_hit (words inside an occurring window), items (sorted ids of the items with occurring windows, a null first),
     spans (array of first and last hit word, 1-based, merged) and contaminated (some hit, and percent of the words or more)."""
     added = ("n_words", "n_hit", "items", "spans", "contaminated")
     text = F.col(f"`{text_col}`")
@@ -89,9 +92,10 @@ def contamination(
         F.sum(F.col("last") - F.col("first") + 1).alias("n_hit"), F.array_sort(F.collect_list(F.struct("first", "last"))).alias("spans")
     )
     items = places.select("fp", "gram").distinct().join(windows.select("item", "gram"), "gram").groupBy("fp").agg(
-        F.array_sort(F.collect_set("item")).alias("items")
+        F.transform(F.array_sort(F.collect_set(F.struct("item"))), lambda x: x["item"]).alias("items")  # a set of bare ids would leave the null one out
     )
-    found = spans.join(items, "fp").withColumnsRenamed({c: f"__{c}" for c in ("fp", "n_hit", "spans", "items")})
+    # Written before the join, so that Spark can split a text of very many copies there.
+    found = written(spans.join(items, "fp"), "benchmark-texts").withColumnsRenamed({c: f"__{c}" for c in ("fp", "n_hit", "spans", "items")})
     n_hit = F.coalesce(F.col("__n_hit"), F.lit(0)).cast("long")
     n_words = F.size("__tokens").cast("long")
     counted = keyed.withColumn("__n_words", n_words).drop("__tokens").join(found, "__fp", "left")
