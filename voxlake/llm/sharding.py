@@ -7,9 +7,10 @@ permutation lies in shard p % n and slot p // n, so shard counts differ by one a
 a row number can be computed without any table (``locate``).
 
 Everything on the main path is a DataFrame or SQL expression. The numbers come from two scans: one counts the
-rows per hash prefix (at most 16**digits counts reach the driver), the other numbers the rows inside each
-prefix by a window and adds the prefix's start. A row that is repeated very often has one hash; such hashes
-are found in overfull prefixes only, and their copies, which are interchangeable, are numbered in 64 salted parts.
+rows per hash prefix (so long that a prefix has half a million rows, but five digits at most, so a million counts at most reach the
+driver), the other numbers the rows inside each prefix by a window and adds the prefix's start. A row that is repeated very often has
+one hash; such hashes are found in overfull prefixes only, and their copies, which are interchangeable, are written with a salt and
+numbered in 64 parts. What decides a number is the row's content or what was written, so a lost executor changes nothing.
 
 Defined cases: a null text has size 1 and the CRC of no bytes; a null id is an id of its own; equal rows
 get different slots; an empty table gives an empty result; input columns named like an output column are replaced.
@@ -24,10 +25,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import without
+from .common import without, written
 
 ROUNDS = 8
 SALTS = 64
+#: Rows of a hash prefix, on average, that one window numbers.
+PREFIX_ROWS = 500_000
 SEED = "voxlake"
 
 
@@ -101,61 +104,65 @@ def permuted(number: str, n: int, keys: list[int]) -> Column:
     return F.expr(walk)
 
 
-def _numbered(rows: DataFrame, digits: int, most_equal: int) -> tuple[DataFrame, int]:
+def _digits(total: int) -> int:
+    """Length of the hash prefix for so many rows."""
+    return next((d for d in (3, 4) if total <= PREFIX_ROWS * 16**d), 5)
+
+
+def _numbered(rows: DataFrame, most_equal: int) -> tuple[DataFrame, int]:
     """rows with __number, 0 to N-1 in the order of __key; and N."""
+    spark, total = rows.sparkSession, rows.count()
+    if not total:
+        return rows.withColumn("__number", F.lit(0).cast("long")), 0
+    digits = _digits(total)
     rows = rows.withColumn("__part", F.substring("__key", 1, digits))
     counts = {r["__part"]: r["count"] for r in rows.groupBy("__part").count().collect()}
-    total = sum(counts.values())
-    if not total:
-        return rows.withColumn("__number", F.lit(0).cast("long")).drop("__part"), 0
     # A key with more than this many rows is salted: fewer than 10,000 keys can have so many.
     often = max(most_equal, total // 10_000)
-    full = [part for part, k in counts.items() if k > often]
+    full = [(part,) for part, k in counts.items() if k > often]
     hot: dict[str, int] = {}
     if full:
-        copies = rows.filter(F.col("__part").isin(full)).groupBy("__key").count().filter(F.col("count") > often)
+        copies = rows.join(F.broadcast(spark.createDataFrame(full, "__part string")), "__part").groupBy("__key").count().filter(F.col("count") > often)
         hot = {r["__key"]: r["count"] for r in copies.collect()}
     for key, k in hot.items():
         counts[key[:digits]] -= k
-    salt = F.lit(0)
-    if hot:
-        is_hot = F.col("__key").isin(list(hot))
-        salt = F.when(is_hot, F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)) + 1).otherwise(0)
-        rows = rows.withColumn("__part", F.when(is_hot, F.col("__key")).otherwise(F.col("__part")))
-    rows = rows.withColumn("__salt", salt.cast("int"))
     starts, at = [], 0
     for part in sorted(counts):
         starts.append((part, 0, at))
         at += counts[part]
+    rows = rows.withColumn("__salt", F.lit(0))
     if hot:
-        salted = rows.filter(F.col("__salt") > 0).groupBy("__part", "__salt").count().collect()
-        for part, s, k in sorted((r["__part"], r["__salt"], r["count"]) for r in salted):
+        often_found = F.broadcast(spark.createDataFrame([(key,) for key in hot], "__key string"))
+        salt = (F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)) + 1).cast("int")
+        salted = rows.join(often_found, "__key", "left_semi").withColumns({"__part": F.col("__key"), "__salt": salt})
+        salted = written(salted, "repeated-rows")  # once, as the salt hangs on the run
+        for part, s, k in sorted((r["__part"], r["__salt"], r["count"]) for r in salted.groupBy("__part", "__salt").count().collect()):
             starts.append((part, s, at))
             at += k
+        rows = rows.join(often_found, "__key", "left_anti").unionByName(salted)
     # At most 16**digits prefixes and 64 parts for each of the fewer than 10,000 repeated rows.
-    start = rows.sparkSession.createDataFrame(starts, "__part string, __salt int, __start long")
+    start = spark.createDataFrame(starts, "__part string, __salt int, __start long")
     within = Window.partitionBy("__part", "__salt").orderBy("__key", "__tie")
-    numbered = rows.join(F.broadcast(start), ["__part", "__salt"]).withColumn(
-        "__number", F.col("__start") + F.row_number().over(within) - 1
-    )
+    numbered = rows.join(F.broadcast(start), ["__part", "__salt"]).withColumn("__number", F.col("__start") + F.row_number().over(within) - 1)
     return numbered.drop("__part", "__salt", "__start"), total
 
 
 def assign_shards(
     docs: DataFrame, n_shards: int = 8, *, id_col: str = "doc_id", text_col: str = "text", seed: str = SEED,
-    digits: int = 3, most_equal: int = 100_000,
+    most_equal: int = 100_000,
 ) -> DataFrame:
     """docs with size, text_crc32, row_number, position, shard and slot (see the module's text)."""
     added = ("size", "text_crc32", "row_number", "position", "shard", "slot")
     text, key = F.coalesce(F.col(f"`{text_col}`"), F.lit("")), F.col(f"`{id_col}`").cast("string")
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
     measured = {
         "__size": (F.octet_length(text) + 1).cast("long"),
         "__crc": F.crc32(text.cast("binary")),
         "__key": F.md5(F.concat_ws(":", F.coalesce(key, F.lit("null")), text).cast("binary")),
-        "__tie": F.xxhash64(F.struct(*[F.col(f"`{c}`") for c in docs.columns])),
+        "__tie": F.xxhash64(F.to_json(whole) if "map<" in docs.schema.simpleString() else whole),  # a map has no hash
     }
     rows = without(docs.withColumns(measured), *added)
-    numbered, total = _numbered(rows, digits, most_equal)
+    numbered, total = _numbered(rows, most_equal)
     position = permuted("__number", total, round_keys(seed)) if total else F.col("__number")
     placed = numbered.withColumn("__position", position)
     return placed.select(
