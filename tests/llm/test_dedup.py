@@ -167,21 +167,20 @@ def test_spans_are_cut_out(spark):
     assert cut == {1: "Before, ! after.", 2: "", 3: "clean", 4: "() z"}
 
 
-def brute_lines(rows):
+def brute_lines(rows, count_copies=False):
     pages, holding = defaultdict(set), defaultdict(set)
-    for r in rows:
-        pages[r.source].add(r.text or "")
+    for i, r in enumerate(rows):
+        page = i if count_copies else r.text or ""
+        pages[r.source].add(page)
         for line in (r.text or "").split("\n"):
             if line.strip(" "):
-                holding[r.source, line.strip(" ")].add(r.text or "")
+                holding[r.source, line.strip(" ")].add(page)
     out = []
     for r in rows:
         lines = (r.text or "").split("\n")
-        is_gone = [bool(x.strip(" ")) and len(p := holding[r.source, x.strip(" ")]) >= 5 and len(p) > 0.05 * len(pages[r.source]) for x in lines]
-        gone = [x for x, g in zip(lines, is_gone, strict=True) if g]
-        drops = bool(gone) and sum(map(len, gone)) <= 0.5 * sum(map(len, lines))
-        text = "\n".join(x for x, g in zip(lines, is_gone, strict=True) if not g) if drops else r.text
-        out.append((r.doc_id, text, sum(bool(x.strip(" ")) for x in lines), len(gone) if drops else 0))
+        is_gone = [bool(x.strip(" ")) and len(p := holding[r.source, x.strip(" ")]) >= 2 and len(p) > 0.05 * len(pages[r.source]) for x in lines]
+        text = "\n".join(x for x, g in zip(lines, is_gone, strict=True) if not g) if any(is_gone) else r.text
+        out.append((r.doc_id, text, sum(bool(x.strip(" ")) for x in lines), sum(is_gone)))
     return Counter(out)
 
 
@@ -198,6 +197,9 @@ def test_line_dedup_agrees_with_brute_force(spark, edge_docs, no_docs):
     got = line_dedup.dedup_lines(docs).collect()
     assert Counter((r.doc_id, r.text, r.n_lines, r.n_dropped) for r in got) == brute_lines(docs.collect())
     assert any(r.n_dropped for r in got)
+    assert {r.text for r in got if r.doc_id == 200} == {""}  # a page of nothing else goes too
+    rows = line_dedup.dedup_lines(docs, count_copies=True).collect()
+    assert Counter((r.doc_id, r.text, r.n_lines, r.n_dropped) for r in rows) == brute_lines(docs.collect(), count_copies=True)
     assert line_dedup.dedup_lines(edge_docs).count() == edge_docs.count() and line_dedup.dedup_lines(no_docs).count() == 0
 
 

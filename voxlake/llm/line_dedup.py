@@ -1,11 +1,10 @@
 """Operator 6, line dedup: lines that a large share of a site's pages carry are boilerplate.
 
-For each host, the pages that contain a line are divided by the host's pages; lines above the boilerplate ratio that
-stand on at least ``min_pages`` pages go, other lines stay, in order. Pages count once for each different text, so that
-copies of a page don't turn its body into boilerplate, and a page of which the boilerplate would be more than
-``max_share`` is a copy of other pages rather than a page with furniture: it stays whole, for near-dedup to judge.
+For each host, the pages that contain a line are divided by the host's pages; every line above the boilerplate ratio goes from every page, other
+lines stay, in order. A line of one page only is not repeated, so it takes two pages at least, however few a host has. A page is a different text of a
+host: its copies are the same page once more, so that a body that was copied often isn't taken for furniture. ``count_copies`` counts rows instead.
 
-Lines are compared trimmed; blank lines are never boilerplate. Counting happens over (host, line hash) with partial
+Lines are compared trimmed; blank lines are never boilerplate. Counting happens over (host, 128-bit line hash) with partial
 sums before the shuffle, so that neither a hot host nor a hot line meets in one task. Only lines that are boilerplate are joined
 back, and their hits go back to the pages by (host, text), once for all copies.
 
@@ -22,41 +21,44 @@ from pyspark.sql import functions as F
 from .common import without
 
 RATIO = 0.05
-MIN_PAGES = 5
-MAX_SHARE = 0.5
+#: On fewer pages than this a line isn't repeated.
+MIN_PAGES = 2
+
+
+def _hash(text):
+    return F.unhex(F.md5(text.cast("binary")))
 
 
 def _line_hash(line):
-    return F.xxhash64(F.trim(line))
+    return _hash(F.trim(line))
 
 
-def boilerplate(docs: DataFrame, host_col: str, text_col: str, ratio: float, min_pages: int) -> DataFrame:
-    """host, line (64-bit hash), n_pages, n_host_pages: the lines above the ratio. A line's hash meets others of its host only."""
+def boilerplate(docs: DataFrame, host_col: str, text_col: str, ratio: float, count_copies: bool) -> DataFrame:
+    """host, line (128-bit hash), n_pages, n_host_pages: the lines above the ratio. A line's hash meets others of its host only."""
     pages = docs.select(
         F.coalesce(F.col(f"`{host_col}`").cast("string"), F.lit("")).alias("host"),
         F.col(f"`{host_col}`").isNull().alias("no_host"),
-        F.xxhash64(F.coalesce(F.col(f"`{text_col}`"), F.lit(""))).alias("page"),
+        _hash(F.coalesce(F.col(f"`{text_col}`"), F.lit(""))).alias("page"),
         F.array_distinct(F.transform(F.filter(F.split(F.coalesce(F.col(f"`{text_col}`"), F.lit("")), "\n"), lambda x: F.trim(x) != ""), _line_hash)).alias("lines"),
     )
-    # A different text counts once; its copies have the same lines.
-    pages = pages.groupBy("host", "no_host", "page").agg(F.first("lines").alias("lines"))
+    if not count_copies:  # copies have the same lines
+        pages = pages.groupBy("host", "no_host", "page").agg(F.first("lines").alias("lines"))
     n_pages = pages.groupBy("host", "no_host").agg(F.count("*").alias("n_host_pages"))
     counted = pages.select("host", "no_host", F.explode("lines").alias("line")).groupBy("host", "no_host", "line").agg(F.count("*").alias("n_pages"))
-    often = counted.filter(F.col("n_pages") >= min_pages)
+    often = counted.filter(F.col("n_pages") >= MIN_PAGES)
     return often.join(n_pages, ["host", "no_host"]).filter(F.col("n_pages") > ratio * F.col("n_host_pages"))
 
 
 def dedup_lines(
-    docs: DataFrame, *, host_col: str = "source", text_col: str = "text", ratio: float = RATIO,
-    min_pages: int = MIN_PAGES, max_share: float = MAX_SHARE,
+    docs: DataFrame, *, host_col: str = "source", text_col: str = "text", ratio: float = RATIO, count_copies: bool = False,
 ) -> DataFrame:
     """docs with text cleaned, n_lines (not blank) and n_dropped."""
-    found = boilerplate(docs, host_col, text_col, ratio, min_pages).select("host", "no_host", "line")
+    found = boilerplate(docs, host_col, text_col, ratio, count_copies).select("host", "no_host", "line")
     text = F.col(f"`{text_col}`")
     keyed = without(docs, "n_lines", "n_dropped").withColumns({
         "__host": F.coalesce(F.col(f"`{host_col}`").cast("string"), F.lit("")),
         "__no_host": F.col(f"`{host_col}`").isNull(),
-        "__page": F.unhex(F.md5(F.coalesce(text, F.lit("")).cast("binary"))),
+        "__page": _hash(F.coalesce(text, F.lit(""))),
     })
     lines = F.split(F.coalesce(text, F.lit("")), "\n")
     own = keyed.select(
@@ -68,16 +70,14 @@ def dedup_lines(
     ).withColumnsRenamed({"host": "__host", "no_host": "__no_host", "page": "__page"})
     joined = keyed.join(dropped, ["__host", "__no_host", "__page"], "left")
     is_gone = lambda x: F.array_contains(F.col("__dropped"), _line_hash(x)) & (F.trim(x) != "")
-    gone = F.filter(lines, is_gone)
-    furniture = F.length(F.array_join(gone, "")) <= max_share * F.length(F.array_join(lines, ""))
-    drops = F.col("__dropped").isNotNull() & furniture
+    drops = F.col("__dropped").isNotNull()
     return joined.select(
         *[
             F.when(drops, F.array_join(F.filter(lines, lambda x: ~is_gone(x)), "\n")).otherwise(text).alias(c) if c == text_col else F.col(f"`{c}`")
             for c in docs.columns if c.lower() not in ("n_lines", "n_dropped")
         ],
         F.size(F.filter(lines, lambda x: F.trim(x) != "")).cast("long").alias("n_lines"),
-        F.when(drops, F.size(gone)).otherwise(0).cast("long").alias("n_dropped"),
+        F.when(drops, F.size(F.filter(lines, is_gone))).otherwise(0).cast("long").alias("n_dropped"),
     )
 
 
@@ -103,10 +103,9 @@ marked AS (
 ),
 line_clean AS (
   SELECT * EXCLUDE (page_row, lines, cut, rest, text),
-         CASE WHEN len(cut) > 0 AND goes THEN array_to_string(rest, chr(10)) ELSE text END AS text,
-         len(list_filter(lines, lambda x: trim(x) <> '')) AS n_lines,
-         CASE WHEN goes THEN len(cut) ELSE 0 END AS n_dropped
-  FROM (SELECT *, length(array_to_string(cut, '')) <= {MAX_SHARE} * length(array_to_string(lines, '')) AS goes FROM marked)
+         CASE WHEN len(cut) > 0 THEN array_to_string(rest, chr(10)) ELSE text END AS text,
+         len(list_filter(lines, lambda x: trim(x) <> '')) AS n_lines, len(cut) AS n_dropped
+  FROM marked
 )"""
 
 
