@@ -18,9 +18,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share. A session without spark.checkpoint.dir is a local one."""
+    """The folder that driver and executors share. Only a local session, as in tests, gets one of its own where spark.checkpoint.dir is unset."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="voxlake-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")

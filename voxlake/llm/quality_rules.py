@@ -206,11 +206,9 @@ def judge(stats: DataFrame, model: Model) -> DataFrame:
 
 
 def filter_documents(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
-    """The kept rows of docs, their columns as they are. Statistics are measured once for the fit, written without the texts, and again, beside the
-    text, for the verdicts."""
+    """The kept rows of docs, their columns as they are. Statistics are measured once and written beside the text, for the fit and the verdicts."""
     names = {c: f"__in_{c}" for c in docs.columns}
-    renamed = docs.withColumnsRenamed(names)
-    stats = statistics(renamed.select(F.col("__in_doc_id").alias("doc_id"), F.col("__in_text").alias("text")))
-    model = fit(written(stats.drop("text"), "rule-statistics"), labels, **options)
-    kept = judge(statistics(renamed, "__in_text"), model).filter("kept")
+    measured = written(statistics(docs.withColumnsRenamed(names), "__in_text"), "rule-statistics")
+    model = fit(measured.select(F.col("__in_doc_id").alias("doc_id"), *STATISTICS, "base_failed"), labels, **options)
+    kept = judge(measured, model).filter("kept")
     return kept.select(*[F.col(f"`{new}`").alias(old) for old, new in names.items()])
