@@ -9,10 +9,11 @@ the latest register are never made, so that long documents cost little more than
 
 Texts that are equal as word sequences collapse first. The others meet in 32 buckets of 5 registers each (two of similarity 0.8 miss each other with
 probability 3e-6). First, every text of a bucket is verified against the bucket's most central text, the one that meets the most texts over all its
-buckets, and verified links are joined to components: a group of copies costs one comparison for each. Then what shares a bucket and still lies in
-different components is compared too, so that no link between components is lost. In a bucket of 16 texts or fewer that is every pair. In a larger
-one, pairs come from a prefix filter, which is exact: of the shingles of a text, the rarest come first, and any text that reaches the similarity must hold one
-of so many of the first that missing them all would leave too small an overlap. There is no cap.
+buckets, and verified links are joined to components: a group of copies costs one comparison for each. A crowded bucket (more than 16 texts) that
+still lies in several components gets another hub, from a component that had none there, for as long as a round links at least a twentieth of what it
+compares. Then what shares a bucket and still lies in different components is compared too, so that no link between components is lost. In a bucket of
+16 texts or fewer that is every pair. In a larger one, pairs come from a prefix filter, which is exact: shingles are taken rarest first, and the
+first one that two texts of the similarity share has so few others before it, in either text, that the rest can still hold the overlap. There is no cap.
 
 Links are verified exactly: sum of minima over sum of maxima of the shingle counts, at least 0.8. Classes are connected components, found by
 star contraction with each round written to the shared folder; nothing but counts reaches the driver.
@@ -44,8 +45,8 @@ BANDS, ROWS = 32, 5
 REGISTERS = BANDS * ROWS
 #: In a bucket of more texts than this, pairs across components come from the prefix filter.
 CROWDED = 16
-#: Sizes of texts fall into classes of this ratio for the prefix filter.
-CLASS = 1.02
+#: Hub rounds go on while they link one in so many of the pairs that they compare.
+WORTH = 20
 #: Rows in an Arrow batch of texts, of bags of shingles or of pairs of them.
 BAGS_AT_ONCE = 256
 _GOLD, _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -206,25 +207,22 @@ def _in_small_batches(df: DataFrame, name: str) -> DataFrame:
 
 
 class _Verifier:
-    """Shingle bags of texts, and the overlap of pairs."""
+    """Shingle bags of the texts that share a bucket, made and written once, and the overlap of pairs of them."""
 
-    def __init__(self, docs: DataFrame, nodes: DataFrame, text_col: str, similarity: float):
-        self.docs, self.nodes, self.text_col, self.similarity = docs, nodes, text_col, similarity
-
-    def bags(self, needed: DataFrame) -> DataFrame:
-        """fp, h, c (hashes and counts of the shingles) of the texts needed (fp)."""
-        needed = needed.join(self.nodes.select("fp", "raw"), "fp")
-        text = F.col(f"`{self.text_col}`")
-        texts = self.docs.select(_raw(text).alias("raw"), text.alias("text")).join(needed, "raw")
+    def __init__(self, docs: DataFrame, needed: DataFrame, text_col: str, similarity: float):
+        """needed: fp, raw (the raw hash of one of the texts of these words)."""
+        self.similarity = similarity
+        text = F.col(f"`{text_col}`")
+        texts = docs.select(_raw(text).alias("raw"), text.alias("text")).join(needed, "raw")
         texts = texts.groupBy("fp").agg(F.min("text").alias("text"))  # copies: one of each
         bag = F.pandas_udf(_bag, "h array<long>, c array<int>")
-        return _in_small_batches(texts.select("fp", bag("text").alias("s")).select("fp", "s.h", "s.c"), "bags")
+        #: fp, h, c (hashes and counts of the shingles).
+        self.bags = _in_small_batches(texts.select("fp", bag("text").alias("s")).select("fp", "s.h", "s.c"), "bags")
 
     def links(self, pairs: DataFrame) -> DataFrame:
         """The pairs (a, b) whose similarity reaches the bound."""
-        bags = self.bags(pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct())
-        first = bags.withColumnsRenamed({"fp": "a", "h": "ha", "c": "ca"})
-        second = bags.withColumnsRenamed({"fp": "b", "h": "hb", "c": "cb"})
+        first = self.bags.withColumnsRenamed({"fp": "a", "h": "ha", "c": "ca"})
+        second = self.bags.withColumnsRenamed({"fp": "b", "h": "hb", "c": "cb"})
         found = pairs.join(first, "a").join(second, "b").withColumn("overlap", F.pandas_udf(_overlap, "double")("ha", "ca", "hb", "cb"))
         return _in_small_batches(found.filter(F.col("overlap") >= self.similarity).select("a", "b"), "verified")
 
@@ -237,21 +235,25 @@ class _Verifier:
         main = sizes.groupBy("key").agg(F.max_by("root", F.struct("n", "root")).alias("main"))
         asking = placed.join(main, "key").filter("root <> main").select("fp").distinct()
         texts = placed.select("fp", "root").distinct()
-        bags = self.bags(texts.select("fp")).withColumn("size", F.aggregate("c", F.lit(0), lambda x, y: x + y))
+        bags = self.bags.withColumn("size", F.aggregate("c", F.lit(0), lambda x, y: x + y))
         held = bags.join(texts, "fp").select("fp", "root", "size", F.inline(F.arrays_zip("h", "c")))
         often = held.groupBy("h").agg(F.count("*").alias("often"))
         t = self.similarity
-        need = lambda size: F.ceil(t / (1 + t) * (F.col("size") + size) - 1e-9)  # noqa: E731  overlap with a text of this size
         before = Window.partitionBy("fp").orderBy("often", "h").rowsBetween(Window.unboundedPreceding, -1)
-        ranked = held.join(asking, "fp").join(often, "h").withColumn("ahead", F.coalesce(F.sum("c").over(before), F.lit(0)))
-        ranked = ranked.filter(F.col("ahead") <= F.col("size") - F.ceil(t * F.col("size") - 1e-9))
-        class_of = lambda size: F.floor(F.log(size) / math.log(CLASS)).cast("int")
-        low, high = F.ceil(t * F.col("size") - 1e-9), F.floor(F.col("size") / t + 1e-9)
-        least = lambda k: F.greatest(F.floor(F.pow(F.lit(CLASS), k) - 1e-6), low)  # noqa: E731  size in class k
-        fits = F.filter(F.sequence(class_of(low) - 1, class_of(high) + 1), lambda k: F.col("ahead") <= F.col("size") - need(least(k)))
-        asked = ranked.select("h", F.col("fp").alias("x"), F.col("root").alias("root_x"), F.explode(fits).alias("class"))
-        offered = held.select("h", F.col("fp").alias("y"), F.col("root").alias("root_y"), class_of(F.col("size")).alias("class"))
+        ranked = held.join(often, "h").withColumn("ahead", F.coalesce(F.sum("c").over(before), F.lit(0)))
+        # Classes of sizes, so wide that all partners of a text lie in two neighbouring ones at most.
+        level = lambda size: F.floor(F.log(size) / (-2 * math.log(t)) + 1e-9).cast("int")
+        least = F.ceil(t * F.col("size") - 1e-9)
+        firsts = ranked.filter(F.col("ahead") <= F.col("size") - least).select("h", "fp", "root", "size", "ahead", level(F.col("size")).alias("class"))
+        firsts = written(firsts, "prefixes")
+        offered = firsts.withColumnsRenamed({"fp": "y", "root": "root_y", "size": "size_y", "ahead": "ahead_y"})
+        # The overlap is at most what isn't ahead, and at least t / (1 + t) of both sizes: so large a partner may be.
+        largest = F.floor((F.col("size") - F.col("ahead")) * (1 + t) / t - F.col("size") + 1e-6)
+        asked = firsts.join(asking, "fp", "left_semi").withColumn("class", F.explode(F.sequence(level(least), level(F.greatest(largest, least)))))
+        asked = asked.withColumnsRenamed({"fp": "x", "root": "root_x"})
+        need = F.ceil(t / (1 + t) * (F.col("size") + F.col("size_y")) - 1e-9)
         met = asked.join(offered, ["h", "class"]).filter("root_x <> root_y")
+        met = met.filter((F.col("ahead") <= F.col("size") - need) & (F.col("ahead_y") <= F.col("size_y") - need))
         return met.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct()
 
 
@@ -262,29 +264,62 @@ def _pairs_across(members: DataFrame) -> DataFrame:
     return met.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
 
+def _merged(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """roots (node, root) after further links (a, b): components of components."""
+    known = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}"))
+    edges = links.join(known("a"), "a", "left").join(known("b"), "b", "left")
+    tops = components(edges.select(F.coalesce("root_a", "a").alias("a"), F.coalesce("root_b", "b").alias("b")))
+    old = roots.withColumnRenamed("root", "old").join(tops.select(F.col("node").alias("old"), "root"), "old", "left")
+    new = tops.join(roots.select("node"), "node", "left_anti")
+    return written(old.select("node", F.coalesce("root", "old").alias("root")).unionByName(new.select("node", "root")), "components")
+
+
+def _in_pieces(shared: DataFrame, roots: DataFrame) -> DataFrame:
+    """shared (key, fp, n, met) with root, for the buckets that lie in several components."""
+    placed = shared.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    pieces = placed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("key")
+    pieces = written(pieces, "pieced-keys")  # before the join, so that Spark can split a bucket of very many texts there
+    return written(placed.join(pieces, "key"), "pieces")
+
+
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
     """id, raw, fp, root, one row per document: root is the least fp of its class."""
     signed = signatures(docs, id_col, text_col)
     nodes = written(signed.groupBy("fp").agg(F.min("raw").alias("raw"), F.first("bands").alias("bands")), "texts")
-    verifier = _Verifier(docs, nodes, text_col, similarity)
     members = nodes.select("fp", F.explode("bands").alias("key"))
     buckets = members.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
     shared = written(members.join(buckets, "key"), "buckets")
     # The most central text of a bucket: the one that meets most others, over all its buckets.
     central = shared.groupBy("fp").agg(F.sum("n").alias("met"))
-    hubs = shared.join(central, "fp").groupBy("key").agg(F.max_by("fp", F.struct("met", "fp")).alias("hub"))
-    to_hub = shared.join(hubs, "key").filter("fp <> hub")
-    to_hub = written(to_hub.select(F.greatest("fp", "hub").alias("a"), F.least("fp", "hub").alias("b")).distinct(), "pairs")
-    links = verifier.links(to_hub)
-    roots = components(links)
-    # Second pass: buckets of three texts or more that still lie in several components.
-    placed = shared.filter("n > 2").join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    pieces = placed.select("key", "root").distinct().groupBy("key").agg(F.count("*").alias("pieces")).filter("pieces > 1")
-    placed = written(placed.join(pieces, "key").select("key", "n", "fp", "root"), "pieces")
+    shared = written(shared.join(central, "fp"), "placed")
+    verifier = _Verifier(docs, nodes.select("fp", "raw").join(central.select("fp"), "fp"), text_col, similarity)
+    hubs = written(shared.groupBy("key").agg(F.max_by("fp", F.struct("met", "fp")).alias("hub")), "hubs")
+    pair = (F.greatest("fp", "hub").alias("a"), F.least("fp", "hub").alias("b"))
+    compared = written(shared.join(hubs, "key").filter("fp <> hub").select(*pair).distinct(), "pairs")
+    roots = components(verifier.links(compared))
+    placed = _in_pieces(shared.filter("n > 2"), roots)
+    while True:
+        crowded = placed.filter(F.col("n") > CROWDED)
+        # The next hub: of the components without one in the bucket, the largest there; of its texts, the most central.
+        had = hubs.join(roots.withColumnRenamed("node", "hub"), "hub", "left").select("key", F.coalesce("root", "hub").alias("root")).distinct()
+        sizes = crowded.join(had, ["key", "root"], "left_anti").groupBy("key", "root").agg(F.count("*").alias("there"), F.max(F.struct("met", "fp")).alias("best"))
+        least = sizes.groupBy("key").agg(F.max(F.struct("there", "best", "root")).alias("top"))
+        next_hubs = written(least.select("key", F.col("top.best.fp").alias("hub"), F.col("top.root").alias("hub_root")), "hubs")
+        pairs = crowded.join(next_hubs, "key").filter("root <> hub_root").select(*pair).distinct().join(compared, ["a", "b"], "left_anti")
+        pairs = written(pairs, "pairs")
+        found = verifier.links(pairs)
+        n_found, n_pairs = found.count(), pairs.count()
+        hubs, compared = hubs.unionByName(next_hubs.select("key", "hub")), compared.unionByName(pairs)
+        if n_found:
+            roots = _merged(roots, found)
+            placed = _in_pieces(placed.drop("root"), roots)
+        if n_found * WORTH <= n_pairs:
+            break
+    # What shares a bucket and still lies in different components.
     pairs = _pairs_across(placed.filter(F.col("n") <= CROWDED)).unionByName(verifier.prefix_pairs(placed.filter(F.col("n") > CROWDED))).distinct()
-    more = verifier.links(written(pairs.join(to_hub, ["a", "b"], "left_anti"), "pairs"))
+    more = verifier.links(written(pairs.join(compared, ["a", "b"], "left_anti"), "pairs"))
     if more.head(1):
-        roots = components(links.unionByName(more))
+        roots = _merged(roots, more)
     classed = signed.select("id", "raw", "fp").join(roots.withColumnRenamed("node", "fp"), "fp", "left")
     return classed.select("id", "raw", "fp", F.coalesce("root", "fp").alias("root"))
 
@@ -292,7 +327,9 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 def classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
     """One row per document: its id, class_id (the least id of its class), class_size and is_first (its row is the one to keep)."""
     rows = near_duplicates(docs, id_col=id_col, text_col=text_col, similarity=similarity)
-    named = rows.groupBy("root").agg(F.min("id").alias("class_id"), F.count("*").alias("class_size"))
+    rows = written(rows, "classed")
+    # Written before the join, so that Spark can split a class of very many documents there.
+    named = written(rows.groupBy("root").agg(F.min("id").alias("class_id"), F.count("*").alias("class_size")), "classes")
     return rows.join(named, "root").select(
         F.col("id").alias(id_col), "class_id", "class_size", F.coalesce(F.col("id") == F.col("class_id"), F.lit(False)).alias("is_first")
     )
@@ -300,9 +337,10 @@ def classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
 
 def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
     """docs with one document of each class, that of the least id (a null id last; then the least text hash)."""
-    rows = near_duplicates(docs, id_col=id_col, text_col=text_col, similarity=similarity)
+    rows = written(near_duplicates(docs, id_col=id_col, text_col=text_col, similarity=similarity), "classed")
     choice = F.struct(F.col("id").isNull().alias("no_id"), F.col("id"), F.col("raw"))
     chosen = rows.withColumn("choice", choice).groupBy("root").agg(F.min("choice").alias("kept"), F.count("*").alias("n")).filter("n > 1")
+    chosen = written(chosen, "classes")  # before the join, so that Spark can split a class of very many documents there
     gone = rows.withColumn("choice", choice).join(chosen, "root").filter("NOT (choice <=> kept)")
     gone = written(gone.select(F.col("choice.no_id").alias("__no_id"), F.col("id").alias("__id"), F.col("raw").alias("__raw")).distinct(), "removed")
     repeated = rows.groupBy("id", "raw").count().filter("count > 1").limit(1).count() > 0
