@@ -4,6 +4,7 @@ run in Arrow batches."""
 from __future__ import annotations
 
 import re
+from itertools import groupby
 
 import pandas as pd
 from pyspark.sql import Column
@@ -199,3 +200,50 @@ def code_of(flight: Column) -> Column:
 
 def tail_of(flight: Column) -> Column:
     return F.when(flight.rlike("^[A-Za-z]{2}"), F.upper(F.trim(F.regexp_extract(flight, "^([A-Za-z]{2,4})(.*)$", 2))))
+
+
+def digit_runs_of(text: str | None) -> list[str]:
+    """The maximal runs of spoken digits and letters; a digit before 'thousand' or 'point' belongs to a number, ends the run and is left out."""
+    words = re.findall("[a-z0-9]+", (text or "").lower())
+    pieces = [None if following in ("thousand", "point") else _code_digit(said, following) for said, following in zip(words, [*words[1:], None], strict=False)]
+    return ["".join(run) for known, run in groupby(pieces, key=lambda p: p is not None) if known]
+
+
+def digit_runs(text: Column) -> Column:
+    @F.pandas_udf("array<string>")
+    def parsed(texts: pd.Series) -> pd.Series:
+        return pd.Series([digit_runs_of(t) for t in texts])
+
+    return parsed(text)
+
+
+#: Pressures in hPa that a real QNH gives (J26), lowest and highest.
+PRESSURES = (950, 1050)
+
+
+def misheard_of(text: str | None) -> list[str]:
+    """J26's candidates: what each 'QNH' would mean as 'KLM', in order, where the number after it can't be a pressure."""
+    out = []
+    for m in re.finditer(r"\bqnh\b", (text or "").lower()):
+        found = callsign_of("klm " + text.lower()[m.end() :]) or ""
+        digits = "".join(filter(str.isdigit, found[3:]))
+        if found.startswith("KLM") and digits and not (len(digits) >= 3 and PRESSURES[0] <= int(digits[:4]) <= PRESSURES[1]):
+            out.append(found)
+    return out
+
+
+def misheard(text: Column) -> Column:
+    @F.pandas_udf("array<string>")
+    def parsed(texts: pd.Series) -> pd.Series:
+        return pd.Series([misheard_of(t) for t in texts])
+
+    return parsed(text)
+
+
+def airline_name(flight: Column) -> Column:
+    """The first spoken name of more than three letters of the designator's code, capitalised; else the code; null without one."""
+    code, names = F.nullif(F.upper(F.substring(flight, 1, 3)), F.lit("")), {}
+    for said, short in AIRLINES.items():
+        if len(said) > 3:
+            names.setdefault(short, said.capitalize())
+    return F.coalesce(F.create_map(*[F.lit(x) for pair in names.items() for x in pair])[code], code)

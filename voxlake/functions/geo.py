@@ -47,11 +47,16 @@ TYPE_BLOCKS = {
 }
 
 
+#: Second digit of those codes.
+QUALIFIERS = {
+    0: "all ships of this type", 1: "carrying hazardous material, category A", 2: "carrying hazardous material, category B",
+    3: "carrying hazardous material, category C", 4: "carrying hazardous material, category D", 5: "reserved for future use", 6: "reserved for future use",
+    7: "reserved for future use", 8: "reserved for future use", 9: "no additional information",
+}
+
+
 def _qualifier(digit: Column) -> Column:
-    hazard = F.concat(F.lit("carrying hazardous material, category "), F.substring(F.lit("ABCD"), digit, F.lit(1)))
-    return (
-        F.when(digit == 0, "all ships of this type").when(digit <= 4, hazard).when(digit <= 8, "reserved for future use").otherwise("no additional information")
-    )
+    return F.create_map(*[F.lit(x) for pair in QUALIFIERS.items() for x in pair])[digit]
 
 
 def ship_types(spark: SparkSession) -> DataFrame:

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text_tables import FIRST_CODE
+#: Words are coded as the characters from here on, of which Unicode has a million.
+FIRST_CODE, MOST_WORDS = 0x10000, 0xFFFFF
 
 
 def places_of(a: str) -> dict[str, int]:
@@ -31,6 +33,32 @@ def common_length(a: str, b: str, places: dict[str, int] | None = None) -> int:
     return len(a) - row.bit_count()
 
 
+class Names:
+    """Names laid out for common_length with many probes: a probe's characters run over all names at once, one 64-bit row of the table each."""
+
+    def __init__(self, names: list[str]):
+        self.names = names
+        self.lengths = np.array([len(n) for n in names], np.int64)
+        self.long = np.flatnonzero(self.lengths > 64)  # these are taken one by one
+        self.full = np.array([(1 << min(len(n), 64)) - 1 for n in names], np.uint64)
+        self.masks: dict[str, np.ndarray] = {}
+        for k, name in enumerate(names):
+            for ch, bits in places_of(name[:64]).items():
+                self.masks.setdefault(ch, np.zeros(len(names), np.uint64))[k] = bits
+
+    def common_lengths(self, probe: str) -> np.ndarray:
+        row = self.full.copy()
+        for ch in probe:
+            mask = self.masks.get(ch)
+            if mask is not None:
+                hit = row & mask
+                row = (row + hit | row - hit) & self.full
+        out = self.lengths - np.bitwise_count(row).astype(np.int64)
+        for k in self.long:
+            out[k] = common_length(self.names[k], probe)
+        return out
+
+
 def indel_ratio_of(a: str, b: str) -> float:
     """100 * 2 * LCS / (len a + len b); 100 for two empty strings."""
     total = len(a) + len(b)
@@ -69,12 +97,13 @@ def token_set_ratio(a: Column, b: Column) -> Column:
 
 def word_edits(reference: Column, hypothesis: Column) -> Column:
     """M1 of two arrays of words: each becomes a string of one character per word, for the built-in edit distance. A word of the
-    hypothesis that the reference doesn't have equals none of its words, so that all such words can share one character. Up to 20,000
-    different words in the reference. Null for an empty reference."""
+    hypothesis that the reference doesn't have equals none of its words, so that all such words can share one character. A reference
+    of more than a million different words raises. Null for an empty reference."""
     def edits(sides: Column) -> Column:
-        code = lambda w: F.decode(F.unhex(F.lpad(F.hex(F.lit(FIRST_CODE) + F.array_position(sides["vocabulary"], w)), 4, "0")), "UTF-16BE")
+        code = lambda w: F.decode(F.unhex(F.lpad(F.hex(F.lit(FIRST_CODE) + F.array_position(sides["vocabulary"], w)), 8, "0")), "UTF-32")
         spelt = lambda words: F.array_join(F.transform(words, code), "")
-        return F.levenshtein(spelt(sides["reference"]), spelt(sides["hypothesis"]))
+        too_many = F.raise_error(F.lit("a reference of more than a million different words")).cast("int")
+        return F.when(F.size(sides["vocabulary"]) >= MOST_WORDS, too_many).otherwise(F.levenshtein(spelt(sides["reference"]), spelt(sides["hypothesis"])))
 
     sides = F.struct(F.array_distinct(reference).alias("vocabulary"), reference.alias("reference"), hypothesis.alias("hypothesis"))
     return F.when(F.size(reference) > 0, F.transform(F.array(sides), edits)[0])

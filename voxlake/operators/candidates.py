@@ -1,4 +1,4 @@
-"""Candidates and contracts: union by precedence (J19), flight matches (J23-J26), exchange validation (F27), reply contract (F26), station decode."""
+"""Candidates and contracts: union by precedence (J19), flight matches (J23-J26), clues (X1), exchange validation (F27), reply contract (F26), station decode."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.airband import code_of, tail_of
+from ..functions.airband import callsign, code_of, misheard, tail_of
 from ..functions.similarity import indel_ratio
 
 #: Fixed value: the order in which sources of a candidate count.
@@ -39,6 +39,26 @@ def match_flights(asked: DataFrame, aircraft: DataFrame, candidate: str, flight:
     return exact.select("candidate", "flight", "score").unionByName(best)
 
 
+def callsign_clues(said: DataFrame, aircraft: DataFrame) -> DataFrame:
+    """Said (id, text) with candidate, flight, hex, type, reg and repaired_from. aircraft: flight, hex, type, reg.
+
+    A candidate without an aircraft was heard and isn't there. Where no airline was heard, a 'QNH' that can be no pressure is read as 'KLM' and counts
+    if exactly one aircraft bears that designator.
+    """
+    fields = F.struct("hex", "flight", "type", "reg")
+    flying = aircraft.filter("flight IS NOT NULL").groupBy("flight").agg(F.min(fields).alias("craft"), F.count("*").alias("n"))
+    heard = said.select("id", callsign(F.col("text")).alias("candidate"), misheard(F.col("text")).alias("misheard"))
+    matched = match_flights(heard, aircraft, "candidate", "flight").select("candidate", "flight").join(flying, "flight").select("candidate", F.col("craft").alias("matched"))
+    doubtful = heard.filter("candidate IS NULL").select("id", F.posexplode("misheard").alias("place", "flight")).join(flying.filter("n = 1"), "flight")
+    repaired = doubtful.groupBy("id").agg(F.min_by(F.struct("flight", "craft"), "place").alias("repaired"))
+    both = heard.join(matched, "candidate", "left").join(repaired, "id", "left")
+    craft = F.coalesce("matched", "repaired.craft")
+    return both.select(
+        "id", F.coalesce("candidate", "repaired.flight").alias("candidate"), *[craft[f].alias(f) for f in ("hex", "flight", "type", "reg")],
+        F.when(F.col("repaired").isNotNull(), "QNH").alias("repaired_from"),
+    )
+
+
 def match_by_tail(tails: DataFrame, aircraft: DataFrame, tail: str, flight: str, hex_: str, on_ground: str) -> DataFrame:
     """Tails borne by exactly one airborne aircraft."""
     flying = aircraft.filter(~F.coalesce(F.col(on_ground), F.lit(False))).select(tail_of(F.col(flight)).alias("tail"), F.col(hex_).alias("hex"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.similarity import alignment, word_edits
-from ..functions.text import wer_tokens
+from ..functions.text import prompt_echo, wer_tokens
 
 
 def error_counts(rows: DataFrame, reference: str, hypothesis: str) -> DataFrame:
@@ -24,6 +24,45 @@ def pooled_wer(edits: Column, words: Column) -> Column:
     return F.sum(edits) / F.nullif(F.sum(words), F.lit(0))
 
 
+def pooled_wer_of_arm(edits: Column, words: Column) -> Column:
+    """M5: the same per arm, 0.0 without words."""
+    return F.coalesce(pooled_wer(edits, words), F.lit(0.0))
+
+
+def clip_counts(rows: DataFrame, reference: str, hypothesis: str) -> DataFrame:
+    """Clips with edits and ref_words; those whose reference has no words are left out."""
+    return error_counts(rows, reference, hypothesis).filter("ref_words IS NOT NULL")
+
+
+def echo_suppressed(rows: DataFrame, text: str, prompt: str) -> DataFrame:
+    """M7: each arm's texts that only echo its own prompt become empty, marked suppressed."""
+    echo = prompt_echo(F.coalesce(F.col(text), F.lit("")), F.coalesce(F.col(prompt), F.lit("")))
+    marked = rows.withColumn("suppressed", echo)
+    return marked.withColumn(text, F.when(F.col("suppressed"), "").otherwise(F.col(text)))
+
+
+def most_divergent(rows: DataFrame, divergence: str, error: str, tie: str, most: int = 20) -> DataFrame:
+    """The references furthest from an unprompted decode. A report: the limit is the feature."""
+    return rows.filter(F.col(divergence).isNotNull() & (F.coalesce(F.col(error), F.lit("")) == "")).orderBy(F.col(divergence).desc(), tie).limit(most)
+
+
+def clip_range(rows: DataFrame, clip: str, low: str, high: str) -> DataFrame:
+    """Clips from low to high, as text, both included."""
+    return rows.filter(F.col(clip).between(low, high))
+
+
+def flight_scores(rows: DataFrame, bucket: str, in_range: str, *keys: str) -> DataFrame:
+    """Of M11's buckets precision over the tags given, recall over the achievable rows (named aircraft in range), and how many were excluded."""
+    n = lambda c: F.sum(F.coalesce(c, F.lit(False)).cast("long"))
+    is_in = lambda *names: F.col(bucket).isin(*names)
+    counted = rows.groupBy(*keys).agg(
+        n(is_in("correct")).alias("correct"), n(is_in("correct", "wrong_match")).alias("tags"), n(F.col(in_range) & ~is_in("excluded")).alias("achievable"),
+        n(is_in("retrieval_miss")).alias("ceiling_missed"), n(is_in("excluded")).alias("excluded"),
+    )
+    ratio = lambda of: F.round(F.col("correct") / F.nullif(F.col(of), F.lit(0)), 9)
+    return counted.withColumns({"precision": ratio("tags"), "recall": ratio("achievable")})
+
+
 def substitutions(rows: DataFrame, reference: str, hypothesis: str) -> DataFrame:
     """Hyp, ref, n of the aligned substitutions."""
     steps = rows.select(F.explode(alignment(wer_tokens(F.col(reference)), wer_tokens(F.col(hypothesis)))).alias("step"))

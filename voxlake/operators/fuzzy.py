@@ -9,12 +9,13 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.similarity import common_length, indel_ratio, places_of
+from ..functions.similarity import Names, indel_ratio
 
 
 def similar_pairs(probes: DataFrame, names: DataFrame, probe: str, name: str, cutoff: float) -> DataFrame:
@@ -77,15 +78,11 @@ def shortlist(probes: DataFrame, ships: DataFrame, key: str, n: int = 3, floor:
         for texts, lists in batches:
             out = []
             for asked_here, ships_here in zip(texts, lists, strict=True):
-                found = []
-                for s in ships_here:
-                    name, places = s["name"], places_of(s["name"])
-                    for probe in asked_here:
-                        least = floor * (len(probe) + len(name)) / 200
-                        if least <= min(len(probe), len(name)):
-                            common = common_length(name, probe, places)
-                            if common >= least:
-                                found.append({"probe": probe, "mmsi": s["mmsi"], "name": name, "score": 200.0 * common / (len(probe) + len(name))})
+                found, names = [], Names([s["name"] for s in ships_here])
+                for probe in asked_here:
+                    scores = 200.0 * names.common_lengths(probe) / np.maximum(1, len(probe) + names.lengths)
+                    for k in np.flatnonzero(scores >= floor):
+                        found.append({"probe": probe, "mmsi": ships_here[k]["mmsi"], "name": ships_here[k]["name"], "score": float(scores[k])})
                 out.append(found)
             yield pd.Series(out)
 

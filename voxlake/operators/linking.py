@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.similarity import indel_ratio, token_set_ratio
-from ..functions.text import callsign_supported, hint_probes, phonetic_probes, spelled_runs
+from ..functions.text import callsign_supported, hint_probes, partial_pattern, phonetic_probes, spelled_runs
 from . import registry, temporal
 
 #: Least length of a spelt call sign (J20), least score of a name that corroborates one.
@@ -61,13 +61,20 @@ def corroborated(pairs: DataFrame, chunks: DataFrame, window: str, name: str, cu
 
 
 def partial_callsigns(chunks: DataFrame, ships: DataFrame, window: str) -> DataFrame:
-    """Window and ship where a spelt tail is borne by one ship only (J18) and its name was said, about, anywhere in the window."""
-    tails = chunks.select(window, F.explode(F.array_union(phonetic_probes(F.col("text")), F.filter(spelled_runs(F.col("text")), lambda r: (F.length(r) >= RUN_LENGTH) & ~r.rlike("^[0-9]+$")))).alias("suffix")).distinct()
-    known = ships.filter("callsign IS NOT NULL").select(F.upper(F.trim("callsign")).alias("callsign"), "mmsi", "name")
+    """Window and ship where a spelt pattern with gaps (J17), else a spelt tail (J18), is borne by one ship only and its name was said, about,
+    anywhere in the window (F11)."""
+    known = ships.filter("callsign IS NOT NULL AND mmsi IS NOT NULL").select(F.upper(F.trim("callsign")).alias("callsign"), "mmsi", "name")
+    gapped = chunks.select(window, F.upper(partial_pattern(F.col("text"))).alias("pattern")).filter("pattern IS NOT NULL").distinct()
+    fits = registry.unique_pattern(gapped, known, "pattern", "callsign").filter("key IS NOT NULL").withColumnRenamed("key", "callsign")
+    by_pattern = gapped.join(fits, "pattern").select(window, "callsign", F.col("pattern").alias("partial_pattern"), F.lit(0).alias("__rank"))
+    runs = F.filter(spelled_runs(F.col("text")), lambda r: (F.length(r) >= RUN_LENGTH) & ~r.rlike("^[0-9]+$"))
+    tails = chunks.select(window, F.explode(F.array_union(phonetic_probes(F.col("text")), runs)).alias("suffix")).distinct()
     one = registry.unique_suffix(tails, known, "suffix", "callsign").filter("key IS NOT NULL").withColumnRenamed("key", "callsign")
-    exact = tails.join(known.select(F.col("callsign").alias("suffix")), "suffix", "left_semi").select("suffix").distinct()
-    met = tails.join(one, "suffix").join(exact, "suffix", "left_anti").join(known, "callsign")
-    return corroborated(met, chunks, window, "name").select(window, "mmsi", "name", F.col("suffix").alias("partial_pattern"))
+    whole = known.select(F.col("callsign").alias("suffix"))  # a whole call sign is J20's
+    by_tail = tails.join(one, "suffix").join(whole, "suffix", "left_anti").select(window, "callsign", F.col("suffix").alias("partial_pattern"), F.lit(1).alias("__rank"))
+    met = corroborated(by_pattern.unionByName(by_tail).join(known, "callsign"), chunks, window, "name")
+    best = met.groupBy(window, "mmsi").agg(F.min_by(F.struct("name", "partial_pattern"), F.struct("__rank", "partial_pattern", "name")).alias("best"))
+    return best.select(window, "mmsi", "best.name", "best.partial_pattern")
 
 
 def live_candidates(chunks: DataFrame, ships: DataFrame, window: str, reference: Column, minutes: int = 360) -> DataFrame:

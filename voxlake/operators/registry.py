@@ -82,9 +82,9 @@ def unique_suffix(asked: DataFrame, registry: DataFrame, suffix: str, key: str,
     Suffixes meet keys by equality: each key offers its tails of the lengths that are asked for (a handful, taken from the data).
     """
     wanted = asked.select(F.upper(F.col(suffix)).alias("suffix")).filter(F.length("suffix") >= least).distinct()
-    longest = 16  # call signs have at most 7 characters, MMSIs 9; longer keys only offer their last 16
-    tails = registry.select(F.upper(F.col(key)).alias("key")).filter(F.length("key") >= least).distinct()
-    tails = tails.select("key", F.explode(F.transform(F.sequence(F.lit(least), F.least(F.length("key"), F.lit(longest))), lambda n: F.right(F.col("key"), n))).alias("suffix"))
+    lengths = F.broadcast(wanted.agg(F.collect_set(F.length("suffix")).alias("__lengths")))  # one row
+    tails = registry.select(F.upper(F.col(key)).alias("key")).filter(F.length("key") >= least).distinct().crossJoin(lengths)
+    tails = tails.select("key", F.explode(F.transform(F.filter("__lengths", lambda n: n <= F.length("key")), lambda n: F.right(F.col("key"), n))).alias("suffix"))
     one = tails.join(wanted, "suffix").groupBy("suffix").agg(F.count("*").alias("n"), F.min("key").alias("key"))
     return wanted.join(one.filter("n = 1").select("suffix", "key"), "suffix", "left")
 

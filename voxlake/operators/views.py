@@ -1,4 +1,4 @@
-"""Read side: paging and search (F12-F14, O1, O2), labels and live-match states (P1-P8), strips (A2), JSON columns."""
+"""Read side: paging and search (F13-F15, O1), labels and live-match states (P4-P6), strips (A2)."""
 
 from __future__ import annotations
 
@@ -37,8 +37,9 @@ def live_match_state(vessel: Column, mmsi: Column, age: Column, bound: float) ->
 
 
 def label(vessel: Column, mmsi: Column) -> Column:
-    """Never the bare name where a number is known."""
-    return F.when(mmsi.isNotNull(), F.concat(F.coalesce(vessel, F.lit("?")), F.lit(" ("), mmsi, F.lit(")"))).otherwise(F.coalesce(vessel, F.lit("unidentified")))
+    """Never the bare name where a number is known; empty is unknown."""
+    name, number = F.nullif(vessel, F.lit("")), F.nullif(mmsi, F.lit(""))
+    return F.coalesce(F.concat(name, F.lit(" ("), number, F.lit(")")), name, number, F.lit("unidentified"))
 
 
 def key_kind(key: Column) -> Column:

@@ -2,26 +2,53 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators import archive
 
 
-def quiet_sessions(chunks: DataFrame, gap: str = "60 seconds", late: str = "10 minutes") -> DataFrame:
-    """A session per channel closes when it has been quiet longer than the gap (events exactly the gap apart stay together)."""
+#: Fixed value: rows of a full session.
+FULL = 40
+
+
+def quiet_sessions(chunks: DataFrame, gap: int = 60, late: str = "10 minutes", cap: int = FULL) -> DataFrame:
+    """A session per channel closes when it has been quiet longer than the gap (events exactly the gap apart stay together) or is full. The state of a
+    channel is its open session's start, last time, count and ids."""
+    def close(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        held, out = list(state.get) if state.exists else None, []
+        for row in () if state.hasTimedOut else pd.concat(list(batches)).sort_values(["time", "id"]).itertuples():
+            if held is not None and ((row.time - held[1]).total_seconds() > gap or held[2] >= cap):
+                out.append(held)
+                held = None
+            held = [row.time, row.time, 1, row.id, row.id] if held is None else [held[0], max(held[1], row.time), held[2] + 1, min(held[3], row.id), max(held[4], row.id)]
+        over = int(held[1].timestamp() * 1000) + gap * 1000 + 1
+        if held[2] >= cap or state.hasTimedOut or over <= state.getCurrentWatermarkMs():
+            out.append(held)
+            state.remove() if state.exists else None
+        else:
+            state.update(tuple(held))
+            state.setTimeoutTimestamp(over)
+        if out:
+            yield pd.DataFrame([(key[0], h[0], *h[2:]) for h in out], columns=["channel", "start", "n", "first_id", "last_id"])
+
     rows = chunks.withColumn("time", F.col("time").cast("timestamp")).withWatermark("time", late)
-    return rows.groupBy("channel", F.session_window("time", gap).alias("s")).agg(F.count("*").alias("n"), F.min("id").alias("first_id"), F.max("id").alias("last_id")).select(
-        "channel", F.col("s.start").alias("start"), "n", "first_id", "last_id"
-    )
+    kind = "start timestamp, last timestamp, n long, first_id long, last_id long"
+    found = "channel string, start timestamp, n long, first_id long, last_id long"
+    return rows.select("channel", "time", "id").groupBy("channel").applyInPandasWithState(close, found, kind, "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def hourly_counts(messages: DataFrame, late: str = "2 hours") -> DataFrame:
-    """Messages and (approximately) different vessels per hour; state leaves with the watermark."""
+    """Messages and different vessels per hour, exactly: counted per hour and vessel first, then per hour. State leaves with the watermark."""
     rows = messages.withColumn("t", F.col("t").cast("timestamp")).withWatermark("t", late)
-    return rows.groupBy(F.window("t", "1 hour").alias("w")).agg(F.count("*").alias("messages"), F.approx_count_distinct("mmsi").alias("vessels")).select(
-        F.col("w.start").alias("hour"), "messages", "vessels"
-    )
+    per_vessel = rows.groupBy(F.window("t", "1 hour").alias("w"), "mmsi").agg(F.count("*").alias("messages"))
+    hours = per_vessel.groupBy(F.window("w", "1 hour").alias("hour")).agg(F.sum("messages").alias("messages"), F.count("mmsi").alias("vessels"))
+    return hours.select(F.col("hour.start").alias("hour"), "messages", "vessels")
 
 
 def late_enrichment(transmissions: DataFrame, snapshots: DataFrame, after: int = 60, late: str = "75 seconds") -> DataFrame:
@@ -39,16 +66,16 @@ def late_enrichment(transmissions: DataFrame, snapshots: DataFrame, after: int =
 
 
 def archive_sink(path: str, key: str, ordinal: str):
-    """K4 for foreachBatch: appends what the archive at path doesn't hold. A batch that is run again appends nothing new."""
-    def write(batch: DataFrame, _: int) -> None:
+    """K4 for foreachBatch: appends what the archive at path doesn't hold, each batch in a folder of its own. A batch that is run again replaces what it
+    wrote before, whole or in part."""
+    def write(batch: DataFrame, number: int) -> None:
         try:
-            stored = batch.sparkSession.read.parquet(path)
-        except Exception as error:  # the first batch finds no archive
-            if "PATH_NOT_FOUND" not in str(error):
+            stored = batch.sparkSession.read.parquet(path).filter(F.col("batch") != number)
+        except AnalysisException as error:  # the first batch finds no archive
+            if error.getCondition() != "PATH_NOT_FOUND":
                 raise
             stored = batch.limit(0)
-        fresh = archive.insert_if_absent(stored, batch, key, ordinal)
-        fresh.write.mode("append").parquet(path)
+        archive.insert_if_absent(stored, batch, key, ordinal).write.mode("overwrite").parquet(f"{path}/batch={number}")
 
     return write
 
