@@ -99,6 +99,26 @@ def test_baseband_blocks_and_wavs(spark, tmp_path):
     rows = files.baseband_blocks(spark, str(tmp_path), 4).orderBy("block").collect()
     assert [len(r.re) for r in rows] == [4, 4, 2] and rows[0].centre_hz == 145500000 and rows[0].rate == 48000
     assert np.allclose(np.concatenate([r.im for r in rows]) * 32768, np.arange(1, 20, 2))
-    clips = spark.createDataFrame([("a", [0.0, 1.0, -2.0]), ("b", [])], "path string, samples array<double>")
-    wavs = {r.path: bytes(r.content) for r in files.write_wavs(clips, "path", "samples", 8000).collect()}
+    clips = spark.createDataFrame([("a.wav", [0.0, 1.0, -2.0]), ("b.wav", [])], "name string, samples array<double>")
+    for _ in range(2):
+        files.write_wavs(clips, "name", "samples", 8000, str(tmp_path / "out"))
+    assert sorted(p.name for p in (tmp_path / "out").iterdir()) == ["a.wav", "b.wav"]
+    wavs = {n: (tmp_path / "out" / f"{n}.wav").read_bytes() for n in "ab"}
     assert np.frombuffer(wavs["a"][44:], "<i2").tolist() == [0, 32767, -32768] and len(wavs["b"]) == 44 + 2 * 160
+
+
+def test_a_recording_over_four_gigabytes_is_planned_from_its_header(spark, tmp_path):
+    """A sparse RF64 file of 5 GB: the tail's block is read without what lies before it."""
+    frames, number = 5 * 2**30 // 4, lambda n, k=4: n.to_bytes(k, "little")
+    head = b"RF64\xff\xff\xff\xffWAVEds64" + number(28) + number(4 * frames + 72, 8) + number(4 * frames, 8) + number(frames, 8) + number(0)
+    head += b"fmt " + number(16) + b"\1\0\2\0" + number(2_400_000) + number(9_600_000) + b"\4\0\x10\0data\xff\xff\xff\xff"
+    with open(tmp_path / "big.wav", "wb") as f:
+        f.write(head)
+        f.truncate(len(head) + 4 * frames)
+        f.seek(len(head) + 4 * (frames - 1))
+        f.write(b"\0\x40\0\xc0")
+    reader = files.BasebandReader({"path": str(tmp_path / "big.wav"), "block_frames": "65536", "task_blocks": "64"})
+    parts = reader.partitions()
+    assert len(parts) == frames // 65536 // 64 and parts[-1].last == frames // 65536
+    last = next(reader.read(files.BlockRange(**{**vars(parts[-1]), "first": parts[-1].last - 1})))
+    assert last.column("re")[0][-1].as_py() == 0.5 and last.column("im")[0][-1].as_py() == -0.5

@@ -16,6 +16,14 @@ STATE_FIELDS = ("flight", "t", "r", "alt_baro", "nav_altitude_mcp", "nav_heading
 AIRBAND = (118.0, 137.0)
 
 
+#: The phrases of evidence (P15) and of a system line (X14), and what gives away a reply that isn't one.
+READ_FROM, HEARD, NOT_THERE, BY_HAND, NO_CLUE = 'callsign %s read from "%s"', " heard", " heard, not in ADS-B", "moved by hand", "no clue"
+ECHO_AMBIGUOUS, ECHO_NO_DATA, ECHO_PENDING = "autopilot: several aircraft changed to that number", "autopilot: no ADS-B data for that moment", "autopilot: not checked yet"
+NOT_IDENTIFIED = "not identified  "
+REPLY_LABEL = r"(?i)^\s*(corrected\s+transcript|corrected|output|transcript)\s*:\s*"
+THINKING_ALOUD = r"(?i)^\s*(we need to|the user|okay,? (so|let)|first,? |i (should|need))"
+
+
 def _filled(value: Column) -> Column:
     return F.nullif(value, F.lit(""))
 
@@ -59,19 +67,19 @@ def particulars(imo: Column, length: Column, beam: Column, draught: Column, dest
 def evidence(moved: Column, clue: Column, echo: Column) -> Column:
     """Why a transmission lies where it does. clue: struct flight, candidate, repaired_from; echo: struct status, flight, hex, kind, value, delay_s."""
     heard = (
-        F.when(clue["flight"].isNotNull() & clue["repaired_from"].isNotNull(), F.format_string('callsign %s read from "%s"', clue["flight"], clue["repaired_from"]))
-        .when(clue["flight"].isNotNull(), F.concat(F.lit("callsign "), clue["flight"], F.lit(" heard")))
-        .when(clue["candidate"].isNotNull(), F.concat(F.lit("callsign "), clue["candidate"], F.lit(" heard, not in ADS-B")))
+        F.when(clue["flight"].isNotNull() & clue["repaired_from"].isNotNull(), F.format_string(READ_FROM, clue["flight"], clue["repaired_from"]))
+        .when(clue["flight"].isNotNull(), F.concat(F.lit("callsign "), clue["flight"], F.lit(HEARD)))
+        .when(clue["candidate"].isNotNull(), F.concat(F.lit("callsign "), clue["candidate"], F.lit(NOT_THERE)))
     )
     unit = F.when(echo["kind"] == "altitude", "ft").otherwise("°")
     delay = F.bround(F.coalesce(echo["delay_s"], F.lit(0.0))).cast("long").cast("string")
     selected = _joined(" ", F.coalesce(echo["flight"], echo["hex"]), F.lit("selected"), echo["value"].cast("string"), unit, delay, F.lit("s later"))
     seen = (
-        F.when(echo["status"] == "match", selected).when(echo["status"] == "ambiguous", "autopilot: several aircraft changed to that number")
-        .when(echo["status"] == "no_snapshots", "autopilot: no ADS-B data for that moment").when(echo["status"].isNull(), "autopilot: not checked yet")
+        F.when(echo["status"] == "match", selected).when(echo["status"] == "ambiguous", ECHO_AMBIGUOUS)
+        .when(echo["status"] == "no_snapshots", ECHO_NO_DATA).when(echo["status"].isNull(), ECHO_PENDING)
     )
     parts = F.nullif(_joined("; ", heard, seen), F.lit(""))
-    return F.when(F.coalesce(moved, F.lit(False)), "moved by hand").otherwise(F.coalesce(parts, F.lit("no clue")))
+    return F.when(F.coalesce(moved, F.lit(False)), BY_HAND).otherwise(F.coalesce(parts, F.lit(NO_CLUE)))
 
 
 def strip_label(key: Column, flight: Column) -> Column:
@@ -137,8 +145,8 @@ def strip_enrichment(text: Column) -> Column:
 
 def system_line(tag: Column, candidate: Column) -> Column:
     """What the system made of a transmission."""
-    extracted = F.concat(F.lit("not identified  (extracted "), candidate, F.lit(", no match)"))
-    return F.coalesce(F.concat(F.lit("identified "), tag), extracted, F.lit("not identified  (no callsign extracted)"))
+    extracted = F.concat(F.lit(NOT_IDENTIFIED + "(extracted "), candidate, F.lit(", no match)"))
+    return F.coalesce(F.concat(F.lit("identified "), tag), extracted, F.lit(NOT_IDENTIFIED + "(no callsign extracted)"))
 
 
 def parsed_system(line: Column) -> Column:
@@ -169,14 +177,14 @@ def clean_reply(raw: Column) -> Column:
     text = F.trim(F.regexp_replace(F.coalesce(raw, F.lit("")), r"(?is)<think>.*?</think>", ""))
     fence = r"(?s)^```[a-zA-Z]*\n(.*?)\n?```$"
     text = F.when(text.rlike(fence), F.trim(F.regexp_extract(text, fence, 1))).otherwise(text)
-    text = F.trim(F.regexp_replace(text, r"(?i)^\s*(corrected\s+transcript|corrected|output|transcript)\s*:\s*", ""))
+    text = F.trim(F.regexp_replace(text, REPLY_LABEL, ""))
     quoted = (F.length(text) >= 2) & text.startswith('"') & text.endswith('"')
     return F.when(quoted, F.trim(F.regexp_extract(text, r'(?s)^"(.*)"$', 1))).otherwise(text)
 
 
 def is_malformed(raw: Column, output: Column, hypothesis: Column) -> Column:
     """unknown-token marks, thinking aloud, or more than three times the words and ten."""
-    aloud = F.coalesce(output, F.lit("")).rlike(r"(?i)^\s*(we need to|the user|okay,? (so|let)|first,? |i (should|need))")
+    aloud = F.coalesce(output, F.lit("")).rlike(THINKING_ALOUD)
     return F.coalesce(raw.contains("<unk>"), F.lit(False)) | aloud | (F.size(wer_tokens(output)) > F.size(wer_tokens(hypothesis)) * 3 + 10)
 
 
@@ -188,3 +196,12 @@ def redacted(reason: Column, secret: Column) -> Column:
 def effective_prompt(client: Column, override: Column, default: Column) -> Column:
     """The first that isn't blank."""
     return F.coalesce(F.nullif(F.trim(client), F.lit("")), F.nullif(F.trim(override), F.lit("")), default)
+
+
+def worksheet_block(index: Column, time: Column, channel: Column, seconds: Column, text: Column, system: Column) -> Column:
+    """A block of the labelling worksheet: what was heard by machine and what the system made of it, with two lines to fill in."""
+    number = F.lpad(index.cast("string"), 4, "0")
+    head = F.format_string("--- %s %s\naudio    : %s_sent.wav   (raw: %s_raw.wav)", number, F.lit("-" * 55), number, number)
+    when = F.format_string("time     : %s   channel: %s   %.1fs", F.coalesce(time, F.lit("")), F.coalesce(channel, F.lit("")), F.coalesce(seconds.cast("double"), F.lit(0.0)))
+    said = F.coalesce(text, F.lit(""))
+    return F.concat(head, F.lit("\n"), when, F.lit("\nmachine  : "), said, F.lit("\nsystem   : "), system, F.lit("\n\nheard    : "), said, F.lit("\naircraft :\n"))

@@ -1,4 +1,4 @@
-"""Archive states as pure functions: insert if absent (K4, K5), upsert (K6), latest override (J10, K10), late updates (K9), day merges (U5), exports."""
+"""Archive states as pure functions: insert if absent (K4, K5), imports (K7), upsert (K6), latest override and moves (J10, K10), late updates (K9), new columns (X44), day merges (U5), exports (K13, K17), logs."""
 
 from __future__ import annotations
 
@@ -79,3 +79,38 @@ def keep_newest(rows: DataFrame, arrival: str, most: int = 300) -> DataFrame:
 def prune_days(rows: DataFrame, day: str, today: Column, keep: int) -> DataFrame:
     """Without the days older than today - keep."""
     return rows.filter(F.col(day) >= F.date_sub(today, keep))
+
+
+def add_moves(moves: DataFrame, asked: DataFrame, rows: DataFrame, key: str) -> DataFrame:
+    """The log with the moves asked for (key, move_id, to_key, state): each remembers the key that was in force, the last move's or the row's own.
+    One move per row at a time; nothing is overwritten."""
+    last = moves.groupBy(key).agg(F.max_by("to_key", "move_id").alias("__last"))
+    new = asked.join(rows.select(key, F.col("outcome_key").alias("__own")), key).join(last, key, "left")
+    return moves.unionByName(new.select(key, "move_id", F.coalesce("__last", "__own").alias("from_key"), "to_key", "state"))
+
+
+def import_records(spark, paths: list[str], schema: str, stored: DataFrame, key: str) -> DataFrame:
+    """K7: records of JSON files to append, each file a list of them; a file of another shape raises. Of equal keys the first file's first record counts."""
+    read = spark.read.text(paths, wholetext=True).select("value", F.col("_metadata.file_path").alias("file"))
+    listed = F.from_json("value", f"ARRAY<STRUCT<{schema}>>", {"mode": "FAILFAST"})
+    is_list = F.coalesce(F.trim(F.col("value")).startswith("["), F.lit(False))
+    checked = read.select("file", F.when(is_list, listed).otherwise(F.raise_error(F.concat(F.lit("not a list of records: "), F.col("file")))).alias("records"))
+    rows = checked.select("file", F.posexplode("records").alias("place", "r")).select("r.*", F.struct("file", "place").alias("__ordinal"))
+    return insert_if_absent(stored, rows, key, "__ordinal").drop("__ordinal")
+
+
+def with_new_columns(stored: DataFrame, rows: DataFrame) -> DataFrame:
+    """Old and new rows together; a column that only one side has is null on the other."""
+    return stored.unionByName(rows, allowMissingColumns=True)
+
+
+def draft_references(captures: DataFrame, files: DataFrame) -> DataFrame:
+    """Captures (day, clip, channel, text) whose recording exists, as reference lines to be corrected by ear, with the number of their channel."""
+    there = captures.join(files.select("day", "clip").distinct(), ["day", "clip"], "left_semi")
+    counts = there.groupBy("channel").agg(F.count("*").alias("n_channel"))
+    return there.join(counts, "channel").select("channel", "n_channel", "day", "clip", F.concat_ws("\t", "clip", F.coalesce("text", F.lit(""))).alias("line"))
+
+
+def latest_log(names: DataFrame, name: str, prefix: str) -> DataFrame:
+    """The greatest name with the prefix; one row, null if there is none."""
+    return names.filter(F.col(name).startswith(prefix)).agg(F.max(name).alias("latest"))

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -12,6 +15,10 @@ from ..functions.similarity import alignment, word_edits
 from ..functions.text import prompt_echo, wer_tokens
 
 
+#: Clips that the bootstrap hands to every task.
+MOST_SHARED = 1_000_000
+
+
 def error_counts(rows: DataFrame, reference: str, hypothesis: str) -> DataFrame:
     """rows with edits and ref_words (both null where the reference has no words)."""
     tokened = rows.withColumn("__ref", wer_tokens(F.col(reference))).withColumn("__hyp", wer_tokens(F.col(hypothesis)))
@@ -146,11 +153,20 @@ def _draw(i: Column, seed: int) -> Column:
     return x
 
 
+def _draws(i: np.ndarray, seed: int) -> np.ndarray:
+    """_draw of many indexes."""
+    x = (i * 40503 + seed) % 2147483648
+    for factor in (48271, 69621, 16807):
+        x = ((x ^ (x // 65536)) * factor + 12345) % 2147483648
+    return x
+
+
 def bootstrap_ci(clips: DataFrame, order: str, a: tuple[str, str], b: tuple[str, str], iterations: int, seed: int) -> DataFrame:
     """M6: 95 % interval of pooled WER b minus a, clips resampled in pairs; one row: low, high, n. a, b: (errors, words) columns.
 
     The draws are hash-seeded: draw k of iteration i picks clip _draw(i * n + k) mod n. Clips are numbered by order within 1024 ranges of the hash of
-    their id, so no single task numbers them all; draws then meet clips in an equi join and only sums per iteration are shuffled.
+    their id, so no single task numbers them all. Up to MOST_SHARED clips (four numbers each, 32 MB) go to every task, which draws and sums whole
+    iterations; beyond that draws meet clips in an equi join and only sums per iteration are shuffled.
     """
     parts = clips.withColumn("__part", F.pmod(F.crc32(F.col(order).cast("string").cast("binary")), F.lit(1024)))
     sizes = parts.groupBy("__part").agg(F.count("*").alias("__size"))
@@ -159,8 +175,20 @@ def bootstrap_ci(clips: DataFrame, order: str, a: tuple[str, str], b: tuple[str,
         "__clip", F.col("__start") + F.row_number().over(Window.partitionBy("__part").orderBy(order)) - 1
     )
     n = clips.count()
-    draws = clips.sparkSession.range(iterations * n).select(F.floor(F.col("id") / max(n, 1)).alias("iteration"), (_draw(F.col("id"), seed) % max(n, 1)).alias("__clip"))
-    sums = draws.join(numbered, "__clip").groupBy("iteration").agg(*[F.sum(c).alias(f"__{k}") for k, c in zip(("ea", "wa", "eb", "wb"), (*a, *b), strict=True)])
+    if n <= MOST_SHARED:
+        values = numbered.select(*[F.col(c).cast("double").alias(f"v{k}") for k, c in enumerate((*a, *b))], "__clip").toPandas().sort_values("__clip")
+        shared = clips.sparkSession.sparkContext.broadcast(values[["v0", "v1", "v2", "v3"]].to_numpy())
+
+        def resampled(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            own = shared.value
+            for batch in batches:
+                total = [own[_draws(i * n + np.arange(n), seed) % n].sum(axis=0) if n else np.zeros(4) for i in batch["id"]]
+                yield pd.DataFrame(np.reshape(total, (-1, 4)), columns=["__ea", "__wa", "__eb", "__wb"])
+
+        sums = clips.sparkSession.range(iterations).mapInPandas(resampled, "__ea double, __wa double, __eb double, __wb double")
+    else:
+        draws = clips.sparkSession.range(iterations * n).select(F.floor(F.col("id") / n).alias("iteration"), (_draw(F.col("id"), seed) % n).alias("__clip"))
+        sums = draws.join(numbered, "__clip").groupBy("iteration").agg(*[F.sum(c).alias(f"__{k}") for k, c in zip(("ea", "wa", "eb", "wb"), (*a, *b), strict=True)])
     deltas = sums.filter("__wa > 0 AND __wb > 0").select((F.col("__eb") / F.col("__wb") - F.col("__ea") / F.col("__wa")).alias("delta"))
     listed = deltas.agg(F.array_sort(F.collect_list("delta")).alias("d"))  # one number per iteration
     at = lambda k: F.round(F.coalesce(F.get("d", k.cast("int")), F.lit(0.0)), 9)

@@ -1,4 +1,4 @@
-"""Reports: word production (A9), draught plausibility (A12, M16), error kinds (A15), trials (A18, A19, X26), traffic (A20, S37), languages (A21), corrections (A22, A23, A27, M15),
+"""Reports: word production (A9), draught plausibility (A12, M16), error kinds (A15), trials (A18, A19, X26), traffic (A20, S37), languages (A21), corrections (A22, A23, M15),
 antenna (A24), feed contract (A26, F21), shortlist hits (M10), sweeps (M12), integrity (M13), labels (M14), per-clip matrix (K18), draft labels (K14), stored exchanges (K3)."""
 
 from __future__ import annotations

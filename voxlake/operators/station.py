@@ -1,4 +1,4 @@
-"""Receiving-station analytics: distinct vessels per hour and rolling (A3-A6), sector records (A10), heartbeats."""
+"""Receiving-station analytics: distinct vessels per hour and rolling (A3-A6), sector records (A10), heartbeats (R14, K27) and silence."""
 
 from __future__ import annotations
 
@@ -58,3 +58,18 @@ def sector_records(fixes: DataFrame, lat: float, lon: float, detail: list[str],
     best = F.max_by(F.struct(*detail, "km"), F.when(F.col("reason").isNull(), F.struct("km", (-F.col(ordinal)).alias("first"))))
     out = rows.groupBy("sector", "reason").agg(F.count("*").alias("n"), best.alias("__best"))
     return out.select("sector", "reason", "n", F.round("__best.km", 6).alias("km"), *[F.col(f"__best.{c}").alias(c) for c in detail])
+
+
+def minute_beats(messages: DataFrame, minute: str, first: int, last: int) -> DataFrame:
+    """A heartbeat for every minute from first to last, with the messages heard in it: one without any still counts, so that a gap is a dead
+    station and not a quiet sea."""
+    minutes = messages.sparkSession.range(first, last + 1).withColumnRenamed("id", minute)
+    heard = messages.groupBy(minute).agg(F.count("*").alias("messages"))
+    return minutes.join(heard, minute, "left").select(minute, F.coalesce("messages", F.lit(0)).alias("messages"))
+
+
+def silent_minutes(beats: DataFrame, minute: str, after: int) -> DataFrame:
+    """Heartbeats at which nothing was heard for so many minutes and again after each further so many: the watch repeats while it is silent."""
+    heard = F.max(F.when(F.col("messages") > 0, F.col(minute))).over(Window.orderBy(minute))  # one row per minute
+    quiet = beats.withColumn("silent", F.col(minute) - heard)
+    return quiet.filter((F.col("silent") > 0) & (F.col("silent") % after == 0))

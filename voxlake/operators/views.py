@@ -25,7 +25,8 @@ def page(rows: DataFrame, order: list, limit: int, offset: int) -> DataFrame:
 
 def age_hours(start: Column, seen: Column) -> Column:
     """Never negative, null where a time is unknown."""
-    return F.greatest(F.lit(0.0), (start.cast("double") - seen.cast("double")) / 3600)
+    hours = (start.cast("double") - seen.cast("double")) / 3600
+    return F.when(hours.isNotNull(), F.greatest(F.lit(0.0), hours))
 
 
 def live_match_state(vessel: Column, mmsi: Column, age: Column, bound: float) -> Column:

@@ -6,36 +6,48 @@ from pyspark.sql import functions as F
 
 from ..functions import airband as A
 from ..operators import candidates as C
-from .text import _spelt, _with_words
-
-#: Common words of the driver's texts, as something that an airband parser listens for.
-_SPOKEN = (
-    ("the", "klm"), ("of", "four"), ("and", "heading"), ("in", "two"), ("thth", "level"), ("de", "descend"), ("la", "seven"), ("que", "thousand"), ("le", "zero"), ("en", "transavia"),
-    ("el", "draught"), ("er", "three"), ("der", "point"), ("die", "five"), ("und", "niner"), ("a", "six"), ("is", "turn"), ("on", "left"), ("for", "for"),
-)
-
 
 def _table(spark, sf_dir, name):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _heard(spark, sf_dir):
-    turns = _table(spark, sf_dir, "conversations")
-    return turns.select("conv_id", "turn", _with_words(F.regexp_replace("text", "[.,\n]", " "), _SPOKEN).alias("text"))
+def _digits(number, size):
+    """A number of so many figures, as it is spelt."""
+    table = F.array(*[F.lit(w) for w in ("zero", "one", "two", "three", "four", "five", "six", "seven", "eight", "nine")])
+    return F.array_join(F.transform(F.split(F.lpad(number.cast("string"), size, "0"), ""), lambda d: F.element_at(table, d.cast("int") + 1)), " ")
+
+
+def _phrases(spark, sf_dir):
+    """Orders as transmissions, each with a phrase of one of six forms."""
+    o, small = F.col("o_orderkey"), F.array(*[F.lit(w) for w in ("one", "two", "three", "four", "five", "six", "seven", "eight", "nine")])
+    word = lambda n: F.element_at(small, (n % 9 + 1).cast("int"))
+    text = (
+        F.when(o % 6 == 0, F.concat(F.lit("turn left heading "), _digits(o % 360 + 1, 3))).when(o % 6 == 1, F.concat(F.lit("descend to flight level "), _digits(o % 400 + 10, 3), F.lit(" now")))
+        .when(o % 6 == 2, F.concat(word(o), F.lit(" thousand "), word(F.floor(o / 10)), F.lit(" hundred feet"))).when(o % 6 == 3, F.concat(F.lit("our draught is "), word(o), F.lit(" decimal "), word(F.floor(o / 10)), F.lit(" metres")))
+        .when(o % 6 == 4, F.concat(F.lit("KLM "), _digits(o % 90 + 10, 2), F.lit(" alfa bravo, good morning"))).otherwise("passing two thousand, speedbird")
+    )
+    return _table(spark, sf_dir, "orders").select("o_orderkey", text.alias("text"))
 
 
 def q_aviation_numbers(spark, sf_dir):
-    rows = _heard(spark, sf_dir).select("conv_id", "turn", F.inline(A.numbers(F.col("text"))))
-    return rows.groupBy("kind", "value").agg(F.count("*").alias("n"), F.count_distinct("conv_id").alias("n_conversations"))
+    return _phrases(spark, sf_dir).select("o_orderkey", F.inline(A.numbers(F.col("text")))).select("o_orderkey", "kind", "value")
 
 
 def q_flight_callsigns(spark, sf_dir):
-    return _heard(spark, sf_dir).select("conv_id", "turn", A.callsign(F.col("text")).alias("candidate"))
+    return _phrases(spark, sf_dir).select("o_orderkey", A.callsign(F.col("text")).alias("candidate"), F.array_join(A.digit_runs(F.col("text")), "|").alias("runs"))
+
+
+def q_callsign_clues(spark, sf_dir):
+    """Every other 'KLM' misheard as 'QNH'."""
+    said = _phrases(spark, sf_dir).select(F.col("o_orderkey").alias("id"), F.when(F.col("o_orderkey") % 12 == 4, F.replace("text", F.lit("KLM"), F.lit("QNH"))).otherwise(F.col("text")).alias("text"))
+    craft = _table(spark, sf_dir, "customer").filter("c_custkey < 60").select(
+        F.concat(F.lit("KLM"), F.col("c_custkey") + 10, F.lit("AB")).alias("flight"), F.col("c_custkey").cast("string").alias("hex"), F.lit("B738").alias("type"), F.lit("PH").alias("reg"),
+    )
+    return C.callsign_clues(said, craft).select("id", "candidate", "hex", "flight", "type", "repaired_from")
 
 
 def q_spoken_draughts(spark, sf_dir):
-    rows = _heard(spark, sf_dir).select("conv_id", F.explode(A.draughts(F.col("text"))).alias("metres"))
-    return rows.groupBy("metres").agg(F.count("*").alias("n"))
+    return _phrases(spark, sf_dir).select("o_orderkey", F.explode(A.draughts(F.col("text"))).alias("metres"))
 
 
 def _aircraft(spark, sf_dir):
@@ -99,7 +111,7 @@ def q_nmea_mmsi(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (
-    q_aviation_numbers, q_flight_callsigns, q_spoken_draughts, q_flight_match, q_tail_match, q_near_miss_codes, q_candidate_precedence, q_exchange_validation, q_reply_contract, q_nmea_mmsi,
+    q_aviation_numbers, q_flight_callsigns, q_callsign_clues, q_spoken_draughts, q_flight_match, q_tail_match, q_near_miss_codes, q_candidate_precedence, q_exchange_validation, q_reply_contract, q_nmea_mmsi,
 )}
 
 _CRAFT = "craft AS (SELECT ['KLM', 'KLC', 'TRA', 'DLH', 'BAW', 'KLMX', 'RYR'][c_custkey % 7 + 1] AS code, (c_custkey % 400)::VARCHAR AS tail, printf('%X', c_custkey) AS hex, c_nationkey % 5 = 0 AS ground FROM customer)"
@@ -108,6 +120,20 @@ _ASKED = "asked AS (SELECT DISTINCT ['KLM', 'KLMX', 'TRAA', 'DLHH', 'QTR'][o_ord
 _NEAR = "CASE WHEN a.code = c.code THEN 100.0 WHEN starts_with(a.code, c.code) OR starts_with(c.code, a.code) THEN 600.0 / 7 END"
 
 ORACLES = {
+    "q_aviation_numbers": """
+SELECT o_orderkey, CASE o_orderkey % 6 WHEN 0 THEN 'heading' ELSE 'altitude' END AS kind,
+       CASE o_orderkey % 6 WHEN 0 THEN o_orderkey % 360 + 1 WHEN 1 THEN (o_orderkey % 400 + 10) * 100 ELSE (o_orderkey % 9 + 1) * 1000 + (o_orderkey // 10 % 9 + 1) * 100 END AS value
+FROM orders WHERE o_orderkey % 6 < 3""",
+    "q_flight_callsigns": """
+WITH o AS (SELECT o_orderkey, o_orderkey % 6 AS k FROM orders)
+SELECT o_orderkey, CASE WHEN k = 4 THEN 'KLM' || (o_orderkey % 90 + 10) || 'AB' END AS candidate,
+       CASE k WHEN 0 THEN lpad((o_orderkey % 360 + 1)::VARCHAR, 3, '0') WHEN 1 THEN lpad((o_orderkey % 400 + 10)::VARCHAR, 3, '0') WHEN 2 THEN (o_orderkey // 10 % 9 + 1)::VARCHAR
+              WHEN 3 THEN (o_orderkey % 9 + 1) || '|' || (o_orderkey // 10 % 9 + 1) WHEN 4 THEN (o_orderkey % 90 + 10) || 'AB' ELSE '' END AS runs FROM o""",
+    "q_callsign_clues": """
+WITH o AS (SELECT o_orderkey AS id, o_orderkey % 6 = 4 AS said, o_orderkey % 12 = 4 AS misheard, o_orderkey % 90 + 10 AS n FROM orders)
+SELECT id, CASE WHEN said AND (NOT misheard OR n < 70) THEN 'KLM' || n || 'AB' END AS candidate, CASE WHEN said AND n < 70 THEN (n - 10)::VARCHAR END AS hex, CASE WHEN said AND n < 70 THEN 'KLM' || n || 'AB' END AS flight,
+       CASE WHEN said AND n < 70 THEN 'B738' END AS type, CASE WHEN misheard AND n < 70 THEN 'QNH' END AS repaired_from FROM o""",
+    "q_spoken_draughts": "SELECT o_orderkey, (o_orderkey % 9 + 1 + (o_orderkey // 10 % 9 + 1) / 10)::DOUBLE AS metres FROM orders WHERE o_orderkey % 6 = 3",
     "q_flight_match": f"""
 WITH {_CRAFT}, {_ASKED},
 m AS (SELECT DISTINCT a.code || a.tail AS candidate, c.code || c.tail AS flight, {_NEAR}::DOUBLE AS score FROM asked a JOIN craft c ON a.tail = c.tail),

@@ -73,7 +73,7 @@ def q_arm_pairing(spark, sf_dir):
     return E.paired_scores(rows, "arm", "clip", "error", "reference", 5)
 
 
-ITERATIONS, SEED = 200, 20240101
+ITERATIONS, SEED = 5000, 20240101
 
 
 def q_bootstrap_ci(spark, sf_dir):
@@ -260,7 +260,7 @@ SELECT key, count(*) AS n, max(at_us) AS last_at, arg_max(s, (at_us, event_id))
     "q_live_match_state": """
 WITH r AS (SELECT event_id, CASE WHEN event_type <> 'view' THEN event_type END AS v, CASE WHEN user_id % 3 <> 0 THEN user_id::VARCHAR END AS m, CASE WHEN event_id % 5 <> 0 THEN value END AS age FROM events)
 SELECT event_id, CASE WHEN v IS NULL THEN NULL WHEN m IS NULL THEN 'heard-only' WHEN age IS NULL THEN 'ais-matched' WHEN age <= 6 THEN 'ais-confirmed' ELSE 'ais-stale' END AS state,
-       CASE WHEN m IS NOT NULL THEN coalesce(v, '?') || ' (' || m || ')' ELSE coalesce(v, 'unidentified') END AS label FROM r""",
+       coalesce(v || ' (' || m || ')', v, m, 'unidentified') AS label FROM r""",
     "q_combine_clues": """
 WITH r AS (SELECT event_id, CASE WHEN event_id % 4 <> 0 THEN event_type || '-' || user_id END AS c, CASE WHEN event_id % 3 = 0 THEN user_id::VARCHAR END AS h, CASE WHEN event_id % 5 < 2 THEN (user_id + event_id % 2)::VARCHAR END AS e FROM events),
 k AS (SELECT *, CASE WHEN c IS NOT NULL AND h IS NULL THEN 1 WHEN h <> e THEN 2 WHEN h = e THEN 3 WHEN h IS NOT NULL THEN 4 WHEN e IS NOT NULL THEN 5 ELSE 6 END AS k FROM r)

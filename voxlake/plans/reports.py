@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import display
-from ..functions.time import seconds
 from ..operators import linking, reports
 from ..streaming import health
 
@@ -106,11 +105,16 @@ def q_display_tags(spark, sf_dir):
     return c.select("c_custkey", tag.alias("tag"), display.is_airband(channel).alias("airband"), display.strip_enrichment(tag).alias("text"))
 
 
+#: Names as they are heard, well and badly.
+_HEARD = ("Santa Isabel Maersk", "Santa Isabel", "Isabel Santa Maersk", "Northern Light", "Northern Lights of Bergen", "Stolt Kestrel", "Stolt Kestrl", "MSC Maria Pia")
+
+
 def q_renamed_guesses(spark, sf_dir):
+    heard = F.element_at(F.array(*[F.lit(n) for n in _HEARD]), (F.col("event_id") * 5 % len(_HEARD) + 1).cast("int"))
     rows = _table(spark, sf_dir, "events").select(
-        (F.col("user_id") % 5).alias("channel"), F.col("event_id").alias("id"), seconds("ts").alias("at"), F.col("event_type").alias("vessel"), (F.col("event_id") % 2 == 0).alias("fuzzy")
+        (F.col("user_id") % 5).alias("channel"), F.col("event_id").alias("id"), (F.col("event_id") * 40).alias("at"), heard.alias("vessel"), (F.col("event_id") % 2 == 0).alias("fuzzy")
     )
-    return linking.renamed_guesses(rows, "channel", "at", ttl=900, cutoff=10.0)
+    return linking.renamed_guesses(rows, "channel", "at", ttl=900)
 
 
 def q_enriched(spark, sf_dir):
@@ -160,6 +164,12 @@ SELECT user_id, round(quantile_cont(value, 0.2), 6) AS floor_db, round(max(value
         f"""SELECT '{f}' AS field, count(*) FILTER (WHERE {f} IS NOT NULL AND try_cast({f}::VARCHAR AS DOUBLE) IS NULL) AS n_bad,
        min_by({f}::VARCHAR, c_custkey) FILTER (WHERE {f} IS NOT NULL AND try_cast({f}::VARCHAR AS DOUBLE) IS NULL) AS first_bad FROM customer""" for f in ("c_acctbal", "c_name", "c_mktsegment")
     ),
+    "q_enriched": """
+WITH o AS (SELECT o_orderkey AS id, o_custkey AS k, o_orderkey % 2 = 0 AS called, o_orderkey % 3 = 0 AS named, o_orderkey % 4 <> 0 AS said, printf('PA%04d', o_custkey) AS c, printf('customer#%09d', o_custkey + 1) AS v FROM orders),
+m AS (SELECT *, CASE WHEN called AND said THEN 'callsign' WHEN named AND EXISTS (SELECT 1 FROM customer WHERE c_custkey = k + 1) THEN 'name' WHEN called AND NOT said THEN 'callsign' END AS method FROM o),
+s AS (SELECT *, CASE method WHEN 'callsign' THEN k WHEN 'name' THEN k + 1 END AS ship FROM m)
+SELECT id, coalesce(c_name, CASE WHEN named THEN v END) AS vessel, ship::VARCHAR AS mmsi, CASE WHEN called THEN c ELSE printf('PA%04d', ship) END AS callsign, method AS match_method
+FROM s LEFT JOIN customer ON c_custkey = ship""",
     "q_label_status": """
 WITH l AS (SELECT p_partkey, CASE WHEN p_partkey % 30 = 0 THEN 'nobody' ELSE p_name END AS name FROM part),
 s AS (SELECT upper(trim(CASE WHEN length(p_name) % 2 = 0 THEN p_name ELSE p_name || ' ' || p_partkey END)) AS k, count(DISTINCT p_partkey) AS n, min(p_partkey) AS mmsi FROM part GROUP BY 1)

@@ -1,0 +1,18 @@
+"""A new folder for the files that a query writes and reads back."""
+
+from __future__ import annotations
+
+import tempfile
+import uuid
+
+from pyspark.sql import SparkSession
+
+
+def new_folder(spark: SparkSession, name: str) -> str:
+    """In the folder that driver and executors share; a local session without one gets its own."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        shared = tempfile.mkdtemp(prefix="voxlake-")
+    return f"{shared.rstrip('/')}/voxlake/{name}-{uuid.uuid4().hex}"

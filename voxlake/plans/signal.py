@@ -87,6 +87,10 @@ WITH p AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e, l
 g AS (SELECT vec_id, list_transform(e, lambda x: x * (pow(10, 0.1::DOUBLE) / peak)) AS y FROM p),
 y AS (SELECT vec_id, list_transform(y, lambda x: CASE WHEN abs(x) > 0.98 THEN sign(x) * (0.98::DOUBLE + 0.02::DOUBLE * tanh((abs(x) - 0.98::DOUBLE) / 0.02::DOUBLE)) ELSE x END) AS y FROM g)
 SELECT vec_id, round(list_max(y), 6) AS top, round(list_sum(y), 6) AS total, len(y)::INTEGER AS n FROM y""",
+    "q_dc_block": """
+WITH d AS (SELECT vec_id, len(embedding) AS n, list_transform(embedding, lambda x, i: x::DOUBLE - CASE WHEN i > 1 THEN embedding[i - 1]::DOUBLE ELSE 0 END) AS d FROM embeddings)
+SELECT vec_id, round(list_sum(list_transform(d, lambda x, i: x * (1 - pow(0.995::DOUBLE, n - i + 1)) / 0.005::DOUBLE)), 6) AS total, n::INTEGER AS n,
+       round(list_sum(list_transform(d, lambda x, i: x * pow(0.995::DOUBLE, n - i))), 6) AS "last" FROM d""",
     "q_noise_floor": f"WITH {_FRAMES} SELECT user_id, round(quantile_cont(value, 0.2), 9) AS floor, count(*) AS n_frames FROM f GROUP BY user_id",
     "q_segments": f"""
 WITH {_FRAMES}, k AS (SELECT user_id, quantile_cont(value, 0.2) + 10 AS bar, count(*) AS n FROM f GROUP BY user_id),

@@ -3,12 +3,18 @@ basebands (S28-S31)."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import re
+import uuid
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyarrow import fs
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 from pyspark.sql.window import Window
 
 from .. import schemas
@@ -88,41 +94,93 @@ def batch_settings(lines: DataFrame, known: list[str], column: str = "value") ->
     return lines.select(m(1).alias("key"), m(2).alias("value")).filter(F.col("key").isin(known))
 
 
-def baseband_blocks(spark: SparkSession, path: str, block_frames: int = 1 << 16) -> DataFrame:
+def baseband_blocks(spark: SparkSession, path: str, block_frames: int = 1 << 16, task_blocks: int = 64) -> DataFrame:
     """RIFF or RF64 recordings of two channels as blocks: capture, centre_hz, rate, block, re, im (arrays of float).
 
-    A file is one task: the header is walked chunk by chunk (a 64-bit size stands in 'ds64'), samples are decoded block by block, a torn tail is cut to
-    whole frames.
+    Only headers are read for the plan, whatever the files' size; a task reads so many blocks of one file, 16 MB at 16 bits, block by block.
     """
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
-
-    def blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for name, raw in zip(batch["path"], batch["content"], strict=True):
-                rate, bits, start, size = _header(raw)
-                width = 2 * bits // 8
-                frames = min(size, len(raw) - start) // width
-                for k, at in enumerate(range(0, frames, block_frames)):
-                    part = _samples(raw[start + at * width : start + min(frames, at + block_frames) * width], bits)
-                    yield pd.DataFrame({"path": [name], "rate": [rate], "block": [k], "re": [part[0::2]], "im": [part[1::2]]})
-
-    out = files.mapInPandas(blocks, "path string, rate int, block long, re array<float>, im array<float>")
-    centre = F.expr("try_cast(regexp_extract(path, '_([0-9]+)Hz', 1) AS BIGINT)")
-    return out.select(F.element_at(F.split("path", "/"), -1).alias("capture"), centre.alias("centre_hz"), "rate", "block", "re", "im")
-
-
-def _header(raw: bytes) -> tuple[int, int, int, int]:
-    """Rate, bits, start and size of the samples."""
-    if raw[:4] not in (b"RIFF", b"RF64") or raw[8:12] != b"WAVE":
+    spark.dataSource.register(Baseband)
+    options = {"path": path, "block_frames": str(block_frames), "task_blocks": str(task_blocks)}
+    return spark.read.format("voxlake_baseband").options(**options).load()
+
+
+@dataclass
+class BlockRange(InputPartition):
+    """Blocks first to last (exclusive) of a file whose samples start at a byte and have so many frames."""
+
+    file: str
+    rate: int
+    bits: int
+    start: int
+    frames: int
+    first: int
+    last: int
+
+
+class Baseband(DataSource):
+    """Recordings in a file or folder that Arrow's file systems open (local paths and URIs)."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "voxlake_baseband"
+
+    def schema(self) -> str:
+        return "capture string, centre_hz long, rate int, block long, re array<float>, im array<float>"
+
+    def reader(self, schema) -> DataSourceReader:
+        return BasebandReader(self.options)
+
+
+class BasebandReader(DataSourceReader):
+    def __init__(self, options: dict[str, str]):
+        self.path, self.block, self.per_task = options["path"], int(options["block_frames"]), int(options["task_blocks"])
+
+    def partitions(self) -> list[BlockRange]:
+        system, root = fs.FileSystem.from_uri(self.path)
+        info = system.get_file_info(root)
+        if info.type == fs.FileType.NotFound:
+            raise FileNotFoundError(self.path)
+        found = [info] if info.is_file else [f for f in system.get_file_info(fs.FileSelector(root)) if f.is_file]
+        out = []
+        for file in found:
+            with system.open_input_file(file.path) as f:
+                rate, bits, start, size = _header(lambda at, n: (f.seek(at), f.read(n))[1], file.size)  # noqa: B023
+            frames = min(size, file.size - start) // (2 * bits // 8)  # a torn tail is cut to whole frames
+            blocks = -(-frames // self.block)
+            out += [BlockRange(file.path, rate, bits, start, frames, k, min(blocks, k + self.per_task)) for k in range(0, blocks, self.per_task)]
+        return out
+
+    def read(self, part: BlockRange) -> Iterator[pa.RecordBatch]:
+        system, _ = fs.FileSystem.from_uri(self.path)
+        capture = part.file.rsplit("/", 1)[-1]
+        centre = re.search(r"_(\d+)Hz", capture)
+        width = 2 * part.bits // 8
+        with system.open_input_file(part.file) as f:
+            for k in range(part.first, part.last):
+                f.seek(part.start + k * self.block * width)
+                x = _samples(f.read(min(self.block, part.frames - k * self.block) * width), part.bits)
+                side = lambda values: pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), pa.array(values, pa.float32()))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([capture]), pa.array([int(centre[1]) if centre else None], pa.int64()), pa.array([part.rate], pa.int32()), pa.array([k], pa.int64()), side(x[0::2]), side(x[1::2])],
+                    names=["capture", "centre_hz", "rate", "block", "re", "im"],
+                )
+
+
+def _header(read: Callable[[int, int], bytes], file_size: int) -> tuple[int, int, int, int]:
+    """Rate, bits, start and size of the samples. The header is walked chunk by chunk; a 64-bit size stands in 'ds64'."""
+    head = read(0, 12)
+    if head[:4] not in (b"RIFF", b"RF64") or head[8:12] != b"WAVE":
         raise ValueError("neither RIFF nor RF64")
+    number = lambda raw: int.from_bytes(raw, "little")
     at, long_size, rate, bits = 12, None, 0, 0
-    while at + 8 <= len(raw):
-        kind, size = raw[at : at + 4], int.from_bytes(raw[at + 4 : at + 8], "little")
-        body = at + 8
+    while at + 8 <= file_size:
+        chunk = read(at, 8)
+        kind, size, body = chunk[:4], number(chunk[4:]), at + 8
         if kind == b"ds64":
-            long_size = int.from_bytes(raw[body + 8 : body + 16], "little")
+            long_size = number(read(body + 8, 8))
         elif kind == b"fmt ":
-            channels, rate, bits = (int.from_bytes(raw[body + a : body + b], "little") for a, b in ((2, 4), (4, 8), (14, 16)))
+            form = read(body, 16)
+            channels, rate, bits = number(form[2:4]), number(form[4:8]), number(form[14:16])
             if channels != 2 or bits not in (8, 16, 32):
                 raise ValueError(f"{channels} channels of {bits} bits")
         elif kind == b"data":
@@ -137,8 +195,8 @@ def _samples(raw: bytes, bits: int) -> np.ndarray:
     return np.frombuffer(raw, "<i2").astype(np.float32) / 32768 if bits == 16 else np.frombuffer(raw, "<f4")
 
 
-def write_wavs(clips: DataFrame, path_col: str, samples_col: str, rate: int) -> DataFrame:
-    """The bytes of a WAV file (16 bits, one channel) per row; an empty clip becomes 20 ms of silence."""
+def wav_bytes(samples: Column, rate: int) -> Column:
+    """A WAV file (16 bits, one channel) of the samples; an empty clip becomes 20 ms of silence."""
     @F.pandas_udf("binary")
     def encoded(samples: pd.Series) -> pd.Series:
         def one(x) -> bytes:
@@ -150,4 +208,38 @@ def write_wavs(clips: DataFrame, path_col: str, samples_col: str, rate: int) ->
 
         return samples.map(one)
 
-    return clips.select(F.col(path_col), encoded(F.col(samples_col)).alias("content"))
+    return encoded(samples)
+
+
+def write_wavs(clips: DataFrame, name_col: str, samples_col: str, rate: int, folder: str) -> None:
+    """Writes a file per row into a folder that Arrow's file systems open. A file appears whole, under its name, when its row is done; a task that runs
+    again writes the same files."""
+    clips.sparkSession.dataSource.register(WavFiles)
+    rows = clips.select(F.col(name_col).cast("string").alias("name"), wav_bytes(F.col(samples_col), rate).alias("content"))
+    rows.write.format("voxlake_wav").option("folder", folder).mode("append").save()
+
+
+class WavFiles(DataSource):
+    @classmethod
+    def name(cls) -> str:
+        return "voxlake_wav"
+
+    def writer(self, schema, overwrite: bool) -> DataSourceWriter:
+        return WavWriter(self.options["folder"])
+
+
+class WavWriter(DataSourceWriter):
+    def __init__(self, folder: str):
+        self.folder = folder
+
+    def write(self, rows: Iterator) -> WriterCommitMessage:
+        system, root = fs.FileSystem.from_uri(self.folder)
+        system.create_dir(root, recursive=True)
+        for row in rows:
+            if "/" in row["name"]:
+                raise ValueError(f"no file name: {row['name']}")
+            part = f"{root}/.{row['name']}.{uuid.uuid4().hex}"
+            with system.open_output_stream(part) as f:
+                f.write(bytes(row["content"]))
+            system.move(part, f"{root}/{row['name']}")
+        return WriterCommitMessage()
