@@ -41,18 +41,20 @@ class Names:
         self.lengths = np.array([len(n) for n in names], np.int64)
         self.long = np.flatnonzero(self.lengths > 64)  # these are taken one by one
         self.full = np.array([(1 << min(len(n), 64)) - 1 for n in names], np.uint64)
+        self.codes = np.array(names, "U64").view(np.uint32).reshape(len(names), 64)
         self.masks: dict[str, np.ndarray] = {}
-        for k, name in enumerate(names):
-            for ch, bits in places_of(name[:64]).items():
-                self.masks.setdefault(ch, np.zeros(len(names), np.uint64))[k] = bits
+
+    def mask(self, ch: str) -> np.ndarray:
+        """For each name the bits of a character's places."""
+        if ch not in self.masks:
+            self.masks[ch] = np.packbits(self.codes == ord(ch), axis=1, bitorder="little").view(np.uint64)[:, 0] & self.full
+        return self.masks[ch]
 
     def common_lengths(self, probe: str) -> np.ndarray:
         row = self.full.copy()
         for ch in probe:
-            mask = self.masks.get(ch)
-            if mask is not None:
-                hit = row & mask
-                row = (row + hit | row - hit) & self.full
+            hit = row & self.mask(ch)
+            row = (row + hit | row - hit) & self.full
         out = self.lengths - np.bitwise_count(row).astype(np.int64)
         for k in self.long:
             out[k] = common_length(self.names[k], probe)

@@ -73,21 +73,23 @@ def shortlist(probes: DataFrame, ships: DataFrame, key: str, n: int = 3, floor:
     chunks = distinct.groupBy(F.pmod(F.xxhash64("probe"), F.lit(n_chunks)).alias("chunk")).agg(F.collect_list("probe").alias("probes"))
     asked = chunks.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))))
 
-    @F.pandas_udf("array<struct<probe:string,mmsi:string,name:string,score:double>>")
-    def scored(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        for texts, lists in batches:
-            out = []
-            for asked_here, ships_here in zip(texts, lists, strict=True):
-                found, names = [], Names([s["name"] for s in ships_here])
-                for probe in asked_here:
-                    scores = 200.0 * names.common_lengths(probe) / np.maximum(1, len(probe) + names.lengths)
-                    for k in np.flatnonzero(scores >= floor):
-                        found.append({"probe": probe, "mmsi": ships_here[k]["mmsi"], "name": ships_here[k]["name"], "score": float(scores[k])})
-                out.append(found)
-            yield pd.Series(out)
+    def scored(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for asked_here, ships_here in zip(batch["probes"], batch["ships"], strict=True):
+                texts, names = list(asked_here), [s["name"] for s in ships_here]
+                # The shorter list is walked, the longer one laid out: common lengths don't care which is which.
+                rows, columns = (names, texts) if len(names) <= len(texts) else (texts, names)
+                laid = Names(columns)
+                scores = np.array([200.0 * laid.common_lengths(x) / np.maximum(1, len(x) + laid.lengths) for x in rows])
+                i, j = np.nonzero(scores >= floor)
+                ship, probe = (i, j) if rows is names else (j, i)
+                yield pd.DataFrame({
+                    "probe": [texts[k] for k in probe], "mmsi": [ships_here[k]["mmsi"] for k in ship], "name": [names[k] for k in ship], "score": scores[i, j],
+                })
 
     # A row per chunk of probes and block of ships; what comes out are the scores that reach the floor.
-    hits = asked.join(blocks, "block").repartition("chunk", "block").select(F.inline(scored("probes", "ships")))
+    pairs = asked.join(blocks, "block").repartition("chunk", "block").select("probes", "ships")
+    hits = pairs.mapInPandas(scored, "probe string, mmsi string, name string, score double")
     per_ship = probes.join(hits, "probe").groupBy(key, "mmsi").agg(
         F.max_by(F.struct("name", F.col("probe").alias("heard"), "score"), F.struct("score", (-F.col("pos")).alias("early"), "name")).alias("best")
     )
