@@ -54,14 +54,14 @@ def hits(docs: DataFrame, windows: DataFrame) -> DataFrame:
         return docs.select("fp", F.lit(0).alias("at"), F.lit(0).alias("n"), F.col("tokens").alias("gram")).limit(0)
     if sum(r["bytes"] for r in sizes) <= BROADCAST_BYTES:
         grams = F.broadcast(grams)
-    # One scan: at each word, a window of each length that occurs and fits.
+    # One scan: at each word, a window of each length that occurs. One that reaches beyond the text equals no window of the set.
     places = docs.filter(F.size("tokens") >= lengths[0])
     places = places.select("fp", "tokens", F.explode(F.sequence(F.lit(1), F.size("tokens") - (lengths[0] - 1))).alias("at"))
     kinds = [F.struct(F.lit(n).alias("n"), _hash(lambda i: F.get("tokens", F.col("at") - 1 + i), F.lit(n)).alias("h")) for n in lengths]
     if len(lengths) == 1:
         scanned = places.withColumn("w", kinds[0])
     else:
-        scanned = places.withColumn("w", F.explode(F.filter(F.array(*kinds), lambda w: w["n"] <= F.size("tokens") - F.col("at") + 1)))
+        scanned = places.withColumn("w", F.explode(F.array(*kinds)))
     scanned = scanned.select("fp", "tokens", "at", F.col("w.n").alias("length"), F.col("w.h").alias("own_h"))
     own = F.slice("tokens", F.col("at"), F.col("length"))
     # The hash alone is the join's key; equality of the words, written so that it is no key, is the check.
