@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from . import bpe, decontamination, html_extraction, line_dedup, near_dedup, quality_classifier, quality_rules, revisits, sharding, url_rules
+from . import bpe, decontamination, divergence, html_extraction, line_dedup, near_dedup, quality_classifier, quality_rules, revisits, sharding, url_rules
 from .common import table, written
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -76,6 +76,10 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents").select("lang", "source", "text"))
+
+
 QUERIES = {
     "op1_html_extraction": op1_html_extraction,
     "op2_quality_classifier": op2_quality_classifier,
@@ -87,6 +91,7 @@ QUERIES = {
     "op8_near_dedup": op8_near_dedup,
     "op9_quality_rules": op9_quality_rules,
     "op10_sharding": op10_sharding,
+    "op12_divergence": op12_divergence,
 }
 
 ORACLES = {
@@ -95,4 +100,5 @@ ORACLES = {
     "op6_line_dedup": line_dedup.ORACLE,
     "op7_revisits": revisits.ORACLE,
     "op10_sharding": sharding.oracle(8),
+    "op12_divergence": divergence.ORACLE,
 }
