@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from . import bpe, decontamination, divergence, html_extraction, line_dedup, near_dedup, quality_classifier, quality_rules, revisits, sharding, url_rules
+from . import bpe, decontamination, divergence, html_extraction, line_dedup, near_dedup, prefix_trie, quality_classifier, quality_rules, revisits, sharding, url_rules
 from .common import table, written
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -80,6 +80,10 @@ def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(table(spark, sf_dir, "documents").select("lang", "source", "text"))
 
 
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.rebuilt_trie(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text"))
+
+
 QUERIES = {
     "op1_html_extraction": op1_html_extraction,
     "op2_quality_classifier": op2_quality_classifier,
@@ -92,6 +96,7 @@ QUERIES = {
     "op9_quality_rules": op9_quality_rules,
     "op10_sharding": op10_sharding,
     "op12_divergence": op12_divergence,
+    "op13_prefix_trie": op13_prefix_trie,
 }
 
 ORACLES = {
@@ -101,4 +106,5 @@ ORACLES = {
     "op7_revisits": revisits.ORACLE,
     "op10_sharding": sharding.oracle(8),
     "op12_divergence": divergence.ORACLE,
+    "op13_prefix_trie": prefix_trie.ORACLE,
 }
