@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from . import bpe, decontamination, divergence, html_extraction, line_dedup, near_dedup, prefix_trie, quality_classifier, quality_rules, revisits, sharding, url_rules
+from . import bpe, decontamination, divergence, embedding_dedup, html_extraction, line_dedup, near_dedup, prefix_trie, quality_classifier, quality_rules, revisits, sharding, url_rules
 from .common import table, written
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -76,6 +76,10 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
 def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(table(spark, sf_dir, "documents").select("lang", "source", "text"))
 
@@ -95,6 +99,7 @@ QUERIES = {
     "op8_near_dedup": op8_near_dedup,
     "op9_quality_rules": op9_quality_rules,
     "op10_sharding": op10_sharding,
+    "op11_embedding_dedup": op11_embedding_dedup,
     "op12_divergence": op12_divergence,
     "op13_prefix_trie": op13_prefix_trie,
 }
@@ -105,6 +110,7 @@ ORACLES = {
     "op6_line_dedup": line_dedup.ORACLE,
     "op7_revisits": revisits.ORACLE,
     "op10_sharding": sharding.oracle(8),
+    "op11_embedding_dedup": embedding_dedup.ORACLE,
     "op12_divergence": divergence.ORACLE,
     "op13_prefix_trie": prefix_trie.ORACLE,
 }
