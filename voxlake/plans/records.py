@@ -8,7 +8,7 @@ from ..functions import airband, display, text as T
 from ..functions.time import seconds
 from ..operators import archive, audio, clips, conversations, evaluation, linking, registry, reports, signal, station
 from ..sources import feeds, files
-from .scratch import new_folder
+from ..scratch import new_folder
 
 #: Figures as they are spelt.
 SPELT = ("zero", "one", "two", "three", "four", "five", "six", "seven", "eight", "nine")
@@ -274,7 +274,7 @@ def q_shore_station(spark, sf_dir):
 
 def q_rebuilt_windows(spark, sf_dir):
     rows = _table(spark, sf_dir, "events").select("user_id", "event_id", seconds("ts").alias("at"))
-    turn = F.struct("at", F.when(F.col("event_id") % 2 == 0, F.concat(F.lit("raw "), "event_id")).alias("raw"), F.concat(F.lit("said "), "event_id").alias("text"), F.concat(F.lit("customer#"), F.lpad((F.col("event_id") % 400).cast("string"), 9, "0")).alias("live_vessel"))
+    turn = F.struct("at", "event_id", F.when(F.col("event_id") % 2 == 0, F.concat(F.lit("raw "), "event_id")).alias("raw"), F.concat(F.lit("said "), "event_id").alias("text"), F.concat(F.lit("customer#"), F.lpad((F.col("event_id") % 400).cast("string"), 9, "0")).alias("live_vessel"))
     exchanges = rows.groupBy(F.floor(F.col("event_id") / 5).alias("exchange")).agg((F.min("event_id") % 3).alias("channel"), F.array_sort(F.collect_list(turn)).alias("turns"))
     labels = rows.filter("event_id % 50 = 0").select(F.col("event_id").alias("label"), (F.col("event_id") % 3).alias("channel"), F.col("at").alias("start"), (F.col("at") + 20_000).alias("end"))
     return conversations.rebuilt_windows(exchanges, labels, _ships(spark, sf_dir), 20_000).select("label", "reference_at", "place", "exchange", "at", "text", "live_mmsi")
