@@ -7,8 +7,12 @@ from pyspark.sql.window import Window
 
 from ..functions import signal as S
 from ..functions.time import micros
+from ..operators import radio
 from ..operators import signal as O
 
+#: The embeddings as recordings: fifty vectors each, ten in a block.
+RATE, BLOCK, RECEIVER = 40_000, 640, radio.Receiver(16_000, 1000.0)
+
 
 def _arrays(spark, sf_dir):
     return spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding")
@@ -74,8 +78,31 @@ def q_channel_power(spark, sf_dir):
     return O.channel_power(rows, "user_id", "frame", "value", "im", 8).select("user_id", "frame", F.round("power_db", 6).alias("power_db"))
 
 
+def embedding_blocks(spark, sf_dir):
+    parts = _arrays(spark, sf_dir).groupBy(F.floor(F.col("vec_id") / 50).alias("capture"), F.floor(F.col("vec_id") % 50 / 10).alias("block"))
+    rows = parts.agg(F.array_sort(F.collect_list(F.struct("vec_id", "embedding"))).alias("v"))
+    return rows.select("capture", "block", F.flatten("v.embedding").alias("re"), F.flatten(F.transform("v.embedding", F.reverse)).alias("im"))
+
+
+def q_demodulated(spark, sf_dir):
+    audio, _ = radio.demodulated(embedding_blocks(spark, sf_dir), RATE, BLOCK, RECEIVER)
+    return audio.select("capture", "block", *_digest("samples"))
+
+
+def q_channel_frames(spark, sf_dir):
+    _, power = radio.demodulated(embedding_blocks(spark, sf_dir), RATE, BLOCK, RECEIVER)
+    return power.select("capture", "frame", F.round("power", 6).alias("power"))
+
+
+def q_replay_arms(spark, sf_dir):
+    """Clips of two arms, one of them gated, along one cut list."""
+    arms = {"wide": RECEIVER, "gated": radio.Receiver(8000, 1000.0)}
+    clips, _ = radio.replay(embedding_blocks(spark, sf_dir), RATE, BLOCK, arms, {"gated": 1.0}, margin=2.0, hang_ms=3, least_ms=2, pad_ms=1)
+    return clips.select("arm", "capture", "segment", *_digest("samples"))
+
+
 QUERIES = {f.__name__: f for f in (
-    q_rms, q_normalize_array, q_dc_block, q_high_pass, q_resample, q_noise_floor, q_segments, q_squelch, q_vad_segments, q_channel_power,
+    q_rms, q_normalize_array, q_dc_block, q_high_pass, q_resample, q_noise_floor, q_segments, q_squelch, q_vad_segments, q_channel_power, q_demodulated, q_channel_frames, q_replay_arms,
 )}
 
 _FRAMES = "f AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS frame, value FROM events)"

@@ -212,8 +212,8 @@ def wav_bytes(samples: Column, rate: int) -> Column:
 
 
 def write_wavs(clips: DataFrame, name_col: str, samples_col: str, rate: int, folder: str) -> None:
-    """Writes a file per row into a folder that Arrow's file systems open. A file appears whole, under its name, when its row is done; a task that runs
-    again writes the same files."""
+    """Writes a file per row into a folder that Arrow's file systems open; a name may lie in folders below it. A file appears whole, under its name, when its row
+    is done; a task that runs again writes the same files."""
     clips.sparkSession.dataSource.register(WavFiles)
     rows = clips.select(F.col(name_col).cast("string").alias("name"), wav_bytes(F.col(samples_col), rate).alias("content"))
     rows.write.format("voxlake_wav").option("folder", folder).mode("append").save()
@@ -236,10 +236,13 @@ class WavWriter(DataSourceWriter):
         system, root = fs.FileSystem.from_uri(self.folder)
         system.create_dir(root, recursive=True)
         for row in rows:
-            if "/" in row["name"]:
+            below, _, name = row["name"].rpartition("/")
+            if not name or any(part in ("", ".", "..") for part in below.split("/") if below):
                 raise ValueError(f"no file name: {row['name']}")
-            part = f"{root}/.{row['name']}.{uuid.uuid4().hex}"
+            place = f"{root}/{below}" if below else root
+            system.create_dir(place, recursive=True)
+            part = f"{place}/.{name}.{uuid.uuid4().hex}"
             with system.open_output_stream(part) as f:
                 f.write(bytes(row["content"]))
-            system.move(part, f"{root}/{row['name']}")
+            system.move(part, f"{place}/{name}")
         return WriterCommitMessage()
