@@ -156,7 +156,11 @@ def test_decontamination_agrees_with_brute_force(spark, edge_docs, no_docs):
 def test_shuffled_window_set_finds_what_the_broadcast_one_does(spark, sf_dir, monkeypatch):
     want = Counter(QUERIES["op4_decontamination"](spark, sf_dir).collect())
     monkeypatch.setattr(decontamination, "BROADCAST_BYTES", 0)
+    moved, far = [], decontamination._far_hits
+    monkeypatch.setattr(decontamination, "_far_hits", lambda docs, scanned, grams: (moved.append(scanned), far(docs, scanned, grams))[1])
     assert Counter(QUERIES["op4_decontamination"](spark, sf_dir).collect()) == want
+    # What is shuffled for each window: no text, no words.
+    assert [d.dtypes for d in moved] == [[("fp", "binary"), ("at", "int"), ("length", "int"), ("own_h", "bigint"), ("own_words", "bigint")]]
 
 
 def test_spans_are_cut_out(spark):

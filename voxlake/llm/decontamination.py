@@ -3,8 +3,8 @@
 Texts become words (A-Z lower-cased; runs of letters, digits and characters beyond ASCII). Every 13 consecutive
 words of a benchmark item are a window; an item of fewer words, but at least one, is one window. All windows of the
 corpus with the length of some benchmark window are hashed and looked up in the set of benchmark windows; the words of
-a hit are compared before it counts. The set is broadcast while its size, counted first, is below a limit;
-beyond it the same join shuffles.
+a hit are compared before it counts. The set is broadcast while its size, counted first, is below a limit. Beyond it windows meet in a shuffle as two hashes, so that
+what moves grows with the words, and the words are compared in the texts that were hit, which come after.
 
 A document's result depends on its text alone, so hits are gathered by text (a 128-bit hash), once for all copies of a text,
 and joined back to the documents; Spark can split a text with very many copies there.
@@ -52,8 +52,6 @@ def hits(docs: DataFrame, windows: DataFrame) -> DataFrame:
     lengths = sorted(r["n"] for r in sizes)
     if not lengths:
         return docs.select("fp", F.lit(0).alias("at"), F.lit(0).alias("n"), F.col("tokens").alias("gram")).limit(0)
-    if sum(r["bytes"] for r in sizes) <= BROADCAST_BYTES:
-        grams = F.broadcast(grams)
     # One scan: at each word, a window of each length that occurs. One that reaches beyond the text equals no window of the set.
     places = docs.filter(F.size("tokens") >= lengths[0])
     places = places.select("fp", "tokens", F.explode(F.sequence(F.lit(1), F.size("tokens") - (lengths[0] - 1))).alias("at"))
@@ -64,11 +62,22 @@ def hits(docs: DataFrame, windows: DataFrame) -> DataFrame:
         scanned = places.withColumn("w", F.explode(F.array(*kinds)))
     scanned = scanned.select("fp", "tokens", "at", F.col("w.n").alias("length"), F.col("w.h").alias("own_h"))
     own = F.slice("tokens", F.col("at"), F.col("length"))
+    if sum(r["bytes"] for r in sizes) > BROADCAST_BYTES:
+        return _far_hits(docs, scanned.select("fp", "at", "length", "own_h", F.xxhash64(own).alias("own_words")), grams)
+    grams = F.broadcast(grams)
     # The hash alone is the join's key; equality of the words, written so that it is no key, is the check.
     same = (F.col("own_h") == F.col("h")) & (F.col("n") <= F.col("length")) & (F.col("n") >= F.col("length")) & (own <= F.col("gram")) & (own >= F.col("gram"))
     return scanned.join(grams, same).select("fp", "at", "n", "gram").distinct()
 
 
+def _far_hits(docs: DataFrame, scanned: DataFrame, grams: DataFrame) -> DataFrame:
+    """hits() for a set too large to broadcast. scanned: fp, at, length, own_h, own_words (hash of all words of the window)."""
+    same = (F.col("own_h") == F.col("h")) & (F.col("own_words") == F.col("all_words")) & (F.col("length") == F.col("n"))
+    met = written(scanned.join(grams.withColumn("all_words", F.xxhash64("gram")), same).select("fp", "at", "n", "gram").distinct(), "benchmark-hits")
+    texts = docs.join(met.select("fp").distinct(), "fp", "left_semi").groupBy("fp").agg(F.first("tokens").alias("tokens"))
+    return met.join(texts, "fp").filter(F.slice("tokens", F.col("at"), F.col("n")) == F.col("gram")).select("fp", "at", "n", "gram")
+
+
 def contamination(
     docs: DataFrame, benchmark: DataFrame, *, size: int = WINDOW, percent: int = 5, item_col: str = "item_id", text_col: str = "text"
 ) -> DataFrame:
