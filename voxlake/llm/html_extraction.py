@@ -3,10 +3,12 @@
 A page becomes a tree of elements. Paragraphs pass points for length and commas to their ancestors (all to the parent; each container passes half of
 its own on), discounted by the share of their text that is link text. The container with the most points, and those of its siblings
 that score near it or are prose themselves, are the article. What can't be article text never enters the tree: scripts, styles,
-forms, menus, page headers and footers, sidebars, adverts, notices and reader comments, by element or by whole tokens of class, id and role.
-A token discards no wrapper whose elements hold more than half of the page's prose, or of the prose inside article and main elements; a word within a longer
-token ('has-sidebar') only takes three quarters of the points. Article and main elements weigh half as much again, and the one around the
-container with the most points is taken whole. Outside of those, a list that is link text nearly all over and in short pieces is a menu without the name.
+forms, menus, page headers and footers, sidebars, adverts, notices and reader comments, by element or by class, id and role. A block whose token is made of such words goes, and
+one of which a longer token has a plain one as a part ('left-sidebar', 'comment-list'); other parts ('main-nav') discard what is mostly links, and else
+take three quarters of the points. No name discards a wrapper whose elements hold more than half of the page's prose, or of the prose inside article and main
+elements, nor a part of a sentence, nor a table's cell, and a paragraph or list item only goes by a plain word or as links. Article and main elements weigh half as
+much again, and the one around the container with the most points is taken whole. Outside of those, a list that is link text nearly all over and in short pieces is a menu without
+the name. A heading of the page that stands before the container, and parts beside it with a whole paragraph of prose, belong to the article.
 
 The text of the article comes in page order, one line per block: character references decoded, white space runs turned into one
 space, blocks trimmed, empty ones left out. Nothing else is dropped or cut.
@@ -38,7 +40,7 @@ BLOCK = frozenset(
 )
 PROSE = frozenset("p pre blockquote li dd dt td h1 h2 h3 h4 h5 h6 figcaption".split())
 #: Never article text, whatever they hold.
-SKIPPED = frozenset("script style noscript template iframe svg canvas head title form button select textarea input nav aside footer menu dialog".split())
+SKIPPED = frozenset("script style noscript template iframe svg canvas head title form button select textarea input label nav aside footer menu dialog".split())
 #: Words of class, id or role that mark what isn't article text.
 WORDS = (
     r"(?:ads?|adverts?|advertisements?|advertising|banner|breadcrumbs?|comments?|commentlist|cookies?|consent|contentinfo|disqus|footer|gdpr"
@@ -48,8 +50,16 @@ WORDS = (
 #: A whole token of such words discards an element; one among other words of a token only makes it weigh less.
 UNWANTED = re.compile(rf"(?:^|\s){WORDS}(?:[_-]+{WORDS})*\d*(?:$|\s)", re.IGNORECASE)
 DOUBTFUL = re.compile(rf"(?:^|[\s_-]){WORDS}(?:$|[\s_-]|\d)", re.IGNORECASE)
+#: Words that mark a block wherever they stand in a token, and those that mark a paragraph as a whole token.
+PLAIN = r"(?:ads?|adverts?|advertisements?|advertising|breadcrumbs?|comments?|commentlist|cookies?|consent|disqus|gdpr|newsletter|notices?|sidebar|sponsors?|sponsored)"
+PART = re.compile(rf"(?:^|[\s_-]){PLAIN}(?:$|[\s_-]|\d)|(?:^|[\s_-])related[_-]?(?:articles?|content|items|links?|news|pages|posts?|reading|stories)(?:$|[\s_-])", re.IGNORECASE)
+PARAGRAPH = re.compile(rf"(?:^|\s){PLAIN}(?:$|\s)", re.IGNORECASE)
 #: What readers wrote may be longer than the article.
-READERS = re.compile(r"(?:^|\s)(?:comments?|commentlist|disqus|replies)\d*(?:$|\s)", re.IGNORECASE)
+READERS = re.compile(r"(?:^|[\s_-])(?:comments?|commentlist|disqus|replies)\d*(?:$|[\s_-])", re.IGNORECASE)
+#: Such a token says that a wrapper has comments beside its text, not that it is one.
+BESIDE = re.compile(r"(?:^|\s)(?:with|has|no|without)[_-]\S*", re.IGNORECASE)
+#: Characters of a paragraph that make a part beside the container one of the article.
+WHOLE_PARAGRAPH = 80
 DOUBT = 0.25
 NAMED = ("article", "main")
 NAMED_WEIGHT = 1.5
@@ -71,7 +81,7 @@ _comment_end = re.compile(r"--!?>")
 
 
 class Node:
-    __slots__ = ("tag", "parent", "items", "points", "length", "links", "commas", "n_links", "wanted", "named", "marked", "readers", "weight")
+    __slots__ = ("tag", "parent", "items", "points", "length", "links", "commas", "n_links", "wanted", "named", "marked", "partly", "readers", "weight", "titled", "longest")
 
     def __init__(self, tag: str, parent: Node | None, wanted: bool = True):
         self.tag, self.parent, self.wanted = tag, parent, wanted
@@ -79,7 +89,8 @@ class Node:
         self.points = 0.0
         self.length = self.links = self.commas = self.n_links = 0
         self.named = tag in NAMED or parent is not None and parent.named
-        self.marked = self.readers = False
+        self.marked = self.partly = self.readers = self.titled = False
+        self.longest = 0
         self.weight = NAMED_WEIGHT if tag in NAMED else 1.0
 
 
@@ -156,16 +167,23 @@ class Tree:
         if tag in ENDED_BY:
             self._end(*ENDED_BY[tag])
         wanted = self.at.wanted and tag not in SKIPPED
-        marked = readers = doubtful = False
+        marked = partly = readers = doubtful = False
         if wanted and tag not in ("html", "body", "article", "main"):
             values = [attributes[k] for k in ("class", "id", "role") if attributes.get(k)]
             marks = unescape(" ".join(values)) if values else ""
             hidden = any(attributes.get(k, "false") != "false" for k in ("hidden", "aria-hidden")) or "display:none" in attributes.get("style", "").replace(" ", "")
             bare = any(v.strip().lower() == "header" for v in values)
             wanted = not hidden and not ((bare or tag == "header") and not self.at.named)
-            marked, readers, doubtful = bool(UNWANTED.search(marks)), bool(READERS.search(marks)), bool(DOUBTFUL.search(marks))
+            if marks:
+                told = BESIDE.sub(" ", marks)
+                doubtful, readers = bool(DOUBTFUL.search(marks)), bool(READERS.search(told))
+                whole = bool(UNWANTED.search(marks))
+                if tag in PROSE:
+                    marked, partly = bool(PARAGRAPH.search(marks)) and tag not in ("td", "th"), whole and tag not in ("td", "th")
+                else:
+                    marked, partly = whole or tag in BLOCK and bool(PART.search(told)), tag in BLOCK and doubtful
         node = Node(tag, self.at, wanted)
-        node.marked, node.readers = marked, readers
+        node.marked, node.partly, node.readers = marked, partly, readers
         if doubtful:
             node.weight = DOUBT
         self.at.items.append(node)
@@ -186,28 +204,31 @@ class Tree:
 
 
 def _discard(tree: Tree) -> None:
-    """Marked elements and all below them become unwanted, but for wrappers: those with elements below them that hold more than half of the page's
+    """Marked elements and all below them become unwanted, as do partly marked ones that are links for the greater part, but for wrappers: those with elements below them that hold more than half of the page's
     prose, or of the prose inside article and main elements. What readers wrote doesn't count as prose, unless the page has no other: then nothing is discarded."""
-    if not any(node.marked for node in tree.nodes):
+    if not any(node.marked or node.partly for node in tree.nodes):
         return
     # Prose at and below each node, and the part of it inside article and main elements; where a node stands: in a link, in a named element, apart.
-    prose, places, own = {id(tree.root): [0, 0]}, {id(tree.root): (False, False, False)}, {}
+    prose, places, own = {id(tree.root): [0, 0, 0]}, {id(tree.root): (False, False, False)}, {}
     for node in tree.nodes:
         linked, named, apart = places[id(node.parent)]
         linked, named, apart = places[id(node)] = linked or node.tag == "a", named or node.tag in NAMED, apart or node.readers or not node.wanted
-        n = 0 if linked or apart else sum(len(item.strip()) for item in node.items if isinstance(item, str))
-        own[id(node)] = (n, n if named else 0)
-        prose[id(node)] = list(own[id(node)])
+        n = sum(len(item.strip()) for item in node.items if isinstance(item, str)) if node.wanted else 0
+        said = 0 if linked or apart else n
+        own[id(node)] = (said, said if named else 0)
+        prose[id(node)] = [*own[id(node)], n if linked else 0]
     for node in reversed(tree.nodes):
         above = prose[id(node.parent)]
-        above[0] += prose[id(node)][0]
-        above[1] += prose[id(node)][1]
-    whole = prose[id(tree.root)]
-    if not whole[0]:
-        return
+        for k, n in enumerate(prose[id(node)]):
+            above[k] += n
+    whole = prose[id(tree.root)][:2]
     for node in tree.nodes:
-        most = any(2 * (part - mine) > all_of_it for part, mine, all_of_it in zip(prose[id(node)], own[id(node)], whole, strict=True))
-        if not node.parent.wanted or node.marked and not most:
+        said, _, links = prose[id(node)]
+        most = any(2 * (part - mine) > all_of_it for part, mine, all_of_it in zip(prose[id(node)], own[id(node)], whole))
+        goes = node.marked or node.partly and links > said
+        if goes and node.tag not in BLOCK:  # a part of a sentence stays
+            goes = not any(isinstance(item, str) and item.strip() for item in node.parent.items)
+        if not node.parent.wanted or whole[0] and goes and not most:
             node.wanted = False
 
 
@@ -226,8 +247,15 @@ def _measure(tree: Tree) -> None:
                 node.links += item.links
                 node.commas += item.commas
                 node.n_links += item.n_links
+                node.titled |= item.titled
+                node.longest = max(node.longest, item.longest)
         if node.tag == "a":
             node.links, node.n_links = node.length, 1
+        prose = node.links < 0.25 * node.length
+        if node.tag == "h1":
+            node.titled = prose
+        elif node.tag == "p" and prose:
+            node.longest = node.length
 
 
 def _article(tree: Tree) -> list[Node]:
@@ -263,12 +291,33 @@ def _article(tree: Tree) -> list[Node]:
         if isinstance(item, str) or not item.wanted:
             continue
         near = item.points >= max(0 if item.tag in NAMED else 10, 0.2 * best.points) and item.tag in BLOCK
-        prose = item.tag == "p" and item.length > 80 and item.links < 0.25 * item.length
-        if item is best or near or prose or item.tag == "h1":
+        prose = item.weight >= 1 and item.longest > WHOLE_PARAGRAPH and item.links < 0.25 * item.length
+        if item is best or near or prose or item.titled and item.links < 0.25 * item.length:
             keep.append(item)
+    if not any(item.titled for item in keep):
+        keep = _title_before(best.parent) + keep
     return keep
 
 
+def _title_before(node: Node) -> list[Node]:
+    """The heading that stands nearest before a node, beside it or one of the two elements around it, in a part that isn't links."""
+    for _ in range(3):
+        if node.parent is None:
+            break
+        found = None
+        for item in node.parent.items:
+            if item is node:
+                break
+            if not isinstance(item, str) and item.wanted and item.titled and item.weight >= 1 and item.tag not in NAMED and item.links < 0.25 * item.length:
+                found = item
+        if found is not None:
+            while found.tag != "h1":
+                found = next(i for i in reversed(found.items) if not isinstance(i, str) and i.wanted and i.titled)
+            return [found]
+        node = node.parent
+    return []
+
+
 def _link_list(node: Node) -> bool:
     """A list or table outside of article and main elements that is link text nearly all over, in short pieces: a menu without the name."""
     menu = node.tag in ("ul", "ol", "table", "dl") and not node.named
