@@ -20,13 +20,14 @@ from pyspark.sql.window import Window
 from .. import schemas
 from ..functions.text import strip_tag
 from ..functions.time import stamp
+from .logs import ordered_lines
 
 
 def capture_index(spark: SparkSession, path: str) -> DataFrame:
     """Index lines (a byte order mark and CRLF are fine, bad rows go): clip (four digits), stamp (offset dropped), channel, text; of equal
-    clips the last line counts."""
-    lines = spark.read.text(path).select(F.regexp_replace("value", "^\\uFEFF|\\r$", "").alias("value"), F.monotonically_increasing_id().alias("line"))
-    rows = lines.select("line", F.from_json("value", schemas.CAPTURE).alias("c")).filter("c.index IS NOT NULL")
+    clips the last line counts, in the order of the files' paths and of their lines."""
+    lines = ordered_lines(spark, path)
+    rows = lines.select(F.col("place").alias("line"), F.from_json("value", schemas.CAPTURE).alias("c")).filter("c.index IS NOT NULL")
     named = rows.select(F.lpad(F.col("c.index").cast("string"), 4, "0").alias("clip"), stamp(F.col("c.timestamp")).alias("stamp"), "c.channel", "c.text", "line").filter("stamp IS NOT NULL")
     return named.groupBy("clip").agg(F.max_by(F.struct("stamp", "channel", "text"), "line").alias("c")).select("clip", "c.*")
 
@@ -47,8 +48,8 @@ def labels(spark: SparkSession, path: str) -> DataFrame:
 
 
 def references(spark: SparkSession, path: str) -> DataFrame:
-    """Clip and reference, parted by the first tab, else the first colon; lines with neither go, of equal clips the last counts."""
-    lines = spark.read.text(path).select("value", F.monotonically_increasing_id().alias("line"))
+    """Clip and reference, parted by the first tab, else the first colon; lines with neither and those that start with '#' go, of equal clips the last line counts."""
+    lines = ordered_lines(spark, path).select(F.trim("value").alias("value"), F.col("place").alias("line")).filter("NOT startswith(value, '#')")
     parts = F.when(F.col("value").contains("\t"), F.split("value", "\t", 2)).when(F.col("value").contains(":"), F.split("value", ":", 2))
     rows = lines.select(F.trim(parts[0]).alias("clip"), F.trim(parts[1]).alias("reference"), "line").filter("clip IS NOT NULL AND clip <> ''")
     return rows.groupBy("clip").agg(F.max_by("reference", "line").alias("reference"))
