@@ -47,6 +47,8 @@ REGISTERS = BANDS * ROWS
 CROWDED = 16
 #: Hub rounds go on while they link one in so many of the pairs that they compare.
 WORTH = 20
+#: Most hashes of texts (16 bytes each) that are broadcast.
+ASKED = 500_000
 #: Rows in an Arrow batch of texts, of bags of shingles or of pairs of them.
 BAGS_AT_ONCE = 256
 _GOLD, _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -221,8 +223,12 @@ class _Verifier:
 
     def links(self, pairs: DataFrame) -> DataFrame:
         """The pairs (a, b) whose similarity reaches the bound."""
-        first = self.bags.withColumnsRenamed({"fp": "a", "h": "ha", "c": "ca"})
-        second = self.bags.withColumnsRenamed({"fp": "b", "h": "hb", "c": "cb"})
+        # Later rounds ask for few texts: only their bags are moved, where the list of them is known to be small.
+        asked, bags = pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct(), self.bags
+        if asked.count() <= ASKED:
+            bags = bags.join(F.broadcast(asked), "fp", "left_semi")
+        first = bags.withColumnsRenamed({"fp": "a", "h": "ha", "c": "ca"})
+        second = bags.withColumnsRenamed({"fp": "b", "h": "hb", "c": "cb"})
         found = pairs.join(first, "a").join(second, "b").withColumn("overlap", F.pandas_udf(_overlap, "double")("ha", "ca", "hb", "cb"))
         return _in_small_batches(found.filter(F.col("overlap") >= self.similarity).select("a", "b"), "verified")
 
