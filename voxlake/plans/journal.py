@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.time import micros, seconds
-from ..operators import sessions, temporal
+from ..operators import second_look, sessions, temporal
 
 SECOND = 1_000_000
 GAP, CAP = 6 * 3600 * SECOND, 3
@@ -92,6 +92,20 @@ def q_change_echo(spark, sf_dir):
     return found.select("id", "status", "hex", "delay", F.array_join("candidates", ",").alias("candidates"))
 
 
+def q_second_look(spark, sf_dir):
+    """Purchases by users whose call sign was heard for some: the outcome of both clues, and the state of a newly named aircraft."""
+    rows = events(spark, sf_dir).select("user_id", "event_id", "event_type", "value", seconds("ts").alias("t"))
+    number, k = F.struct(F.lit("altitude").alias("kind"), F.floor("value").cast("int").alias("value")), F.col("event_id")
+    heard = F.when(k % 3 == 0, F.concat(F.lit("KLM"), k))
+    stored = rows.filter("event_type = 'purchase'").select(
+        k.alias("id"), "t", F.array(number).alias("numbers"), heard.alias("candidate"), F.when(k % 6 == 0, F.col("user_id").cast("string")).alias("call_hex"),
+        F.when(k % 6 == 0, F.col("user_id").cast("string")).alias("outcome_key"), F.when(k % 6 == 0, F.struct(F.lit(-1.0).alias("altitude"))).alias("state"),
+    )
+    snapshots = _snapshots(rows).withColumn("state", F.struct(F.col("selected_altitude").alias("altitude")))
+    found = second_look.second_look(stored, snapshots, before=HOUR, after=6 * HOUR, poll=HOUR, altitude=0.5)
+    return found.select("id", "echo_status", "echo_delay", F.col("outcome.kind").alias("kind"), F.col("outcome.key").alias("key"), F.col("outcome.badge").alias("badge"), F.col("state.altitude").alias("altitude"))
+
+
 def q_rolling_silence(spark, sf_dir):
     """Channels that never sent an error, against those that went quiet (none in the last day of the feed)."""
     rows = events(spark, sf_dir).select("user_id", "event_type", micros("ts").alias("t"))
@@ -102,7 +116,7 @@ def q_rolling_silence(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (
-    q_gap_sessions_capped, q_closed_windows, q_session_window, q_asof_backward_tol, q_nearest_within_tol, q_interval_join, q_change_echo, q_rolling_silence,
+    q_gap_sessions_capped, q_closed_windows, q_session_window, q_asof_backward_tol, q_nearest_within_tol, q_interval_join, q_change_echo, q_second_look, q_rolling_silence,
 )}
 
 ORACLES = {
@@ -159,6 +173,35 @@ SELECT b.id, CASE WHEN silent THEN 'no_numbers' WHEN base_t IS NULL OR n_later =
        CASE WHEN len(candidates) = 1 THEN hex END AS hex, CASE WHEN len(candidates) = 1 THEN delay END AS delay,
        coalesce(array_to_string(candidates, ','), '') AS candidates
 FROM based b LEFT JOIN hits USING (id)""",
+    "q_second_look": f"""
+WITH ev AS (SELECT user_id, event_id, event_type, value, epoch_us(ts) // 1000000 AS t FROM events),
+snap AS (
+  SELECT t // {HOUR} * {HOUR} AS t, user_id::VARCHAR AS hex, max_by(value, (t, event_id)) AS v, max_by(event_type, (t, event_id)) = 'signup' AS ground
+  FROM ev GROUP BY 1, 2
+),
+said AS (SELECT event_id AS id, t, floor(value) AS v, false AS silent FROM ev WHERE event_type = 'purchase'),
+times AS (SELECT DISTINCT t FROM snap),
+based AS (
+  SELECT s.id, s.t, s.v, s.silent, max(CASE WHEN x.t <= s.t - {HOUR} THEN x.t END) AS base_t,
+         count(CASE WHEN x.t > s.t - {HOUR} AND x.t <= s.t + {6 * HOUR} THEN 1 END) AS n_later
+  FROM said s CROSS JOIN times x GROUP BY ALL
+),
+hit AS (
+  SELECT b.id, a.hex, min(a.t) - b.t AS delay
+  FROM based b JOIN snap a ON a.t > b.t - {HOUR} AND a.t <= b.t + {6 * HOUR} AND NOT a.ground AND abs(a.v - b.v) <= 0.5
+  JOIN snap o ON o.t = b.base_t AND o.hex = a.hex AND abs(o.v - b.v) > 0.5
+  WHERE NOT b.silent GROUP BY b.id, a.hex, b.t
+),
+hits AS (SELECT id, list_sort(list(hex)) AS candidates, min(hex) AS hex, min_by(delay, hex) AS delay FROM hit GROUP BY id),
+seen AS (SELECT b.id, b.t, CASE WHEN base_t IS NULL OR n_later = 0 THEN 'no_snapshots' WHEN candidates IS NULL THEN 'none' WHEN len(candidates) = 1 THEN 'match' ELSE 'ambiguous' END AS echo_status,
+                CASE WHEN len(candidates) = 1 THEN hex END AS e, CASE WHEN len(candidates) = 1 THEN delay END AS echo_delay FROM based b LEFT JOIN hits USING (id)),
+clue AS (SELECT seen.*, CASE WHEN id % 6 = 0 THEN ev.user_id::VARCHAR END AS c, id % 3 = 0 AS heard FROM seen JOIN ev ON ev.event_id = id),
+made AS (SELECT *, CASE WHEN heard AND c IS NULL THEN 'unknown' WHEN c <> e THEN 'review' WHEN c IS NOT NULL OR e IS NOT NULL THEN 'flight' ELSE 'unassigned' END AS kind FROM clue),
+outcome AS (SELECT *, CASE kind WHEN 'unknown' THEN 'heard:' || substr('KLM' || id, 1, 12) WHEN 'flight' THEN coalesce(c, e) ELSE kind END AS key,
+                   CASE WHEN kind = 'review' THEN 'conflict' WHEN kind = 'unknown' THEN kind WHEN kind = 'unassigned' THEN 'none' WHEN c = e THEN 'confirmed' WHEN c IS NOT NULL THEN 'callsign' ELSE 'echo' END AS badge FROM made),
+last AS (SELECT id, max(x.t) AS t FROM outcome o JOIN times x ON x.t BETWEEN o.t - {3 * HOUR} AND o.t WHERE kind = 'flight' AND c IS NULL GROUP BY id)
+SELECT o.id, echo_status, echo_delay, kind, key, badge, coalesce(s.v, CASE WHEN o.id % 6 = 0 THEN -1 END) AS altitude
+FROM outcome o LEFT JOIN last ON last.id = o.id LEFT JOIN snap s ON s.t = last.t AND s.hex = o.key AND o.kind = 'flight'""",
     "q_rolling_silence": f"""
 WITH ev AS (SELECT user_id, event_type, epoch_us(ts) AS t FROM events),
 last AS (SELECT user_id, max(CASE WHEN event_type = 'error' THEN t END) AS last_us FROM ev GROUP BY user_id)

@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from .. import store
 from ..functions import geo
 from ..functions.time import micros, seconds
 from ..operators import archive, registry, station
+from ..scratch import new_folder, written
+from ..streaming import registry as vessels
 
 
 def _table(spark, sf_dir, name):
@@ -25,6 +28,26 @@ def q_merge_latest(spark, sf_dir):
     return merged.select("user_id", "name", "destination", "latitude", "longitude", F.col("position_at").alias("position_us"), F.col("last_seen").alias("seen_us"))
 
 
+def q_registry_versions(spark, sf_dir):
+    """The same observations as a stream in three batches, each a version of the registry's table."""
+    k, t = F.col("event_id"), F.col("ts").cast("timestamp")
+    rows = _table(spark, sf_dir, "events").select(
+        k.alias("arrival"), F.col("user_id").cast("string").alias("mmsi"), F.when(F.col("event_type") == "view", "").otherwise(F.col("event_type")).alias("name"), F.lit(None).cast("string").alias("callsign"),
+        *[F.lit(None).cast(kind).alias(c) for c, kind in (("type", "int"), ("imo", "long"), ("length", "double"), ("beam", "double"), ("draught", "double"))],
+        F.when(F.col("event_type") == "error", F.col("props")).alias("destination"), F.when(F.col("value") > 10, F.col("value")).alias("latitude"), F.col("value").alias("longitude"),
+        *[F.lit(None).cast("double").alias(c) for c in ("sog", "cog", "heading")], (t - F.when(k % 3 == 0, F.expr("INTERVAL 1 DAY")).otherwise(F.expr("INTERVAL 0 DAY"))).alias("observed_at"),
+    )
+    third = F.expr("ntile(3) OVER (ORDER BY day)")
+    days = rows.groupBy(F.floor(F.col("arrival") / 1000).alias("day")).count().withColumn("batch", third).select("day", "batch")  # one row per thousand
+    dealt = written(rows.join(days, F.floor(F.col("arrival") / 1000) == F.col("day")).drop("day"), "observations")
+    path = new_folder(spark, "registry")
+    write = vessels.registry_sink(path)
+    for number in range(3):
+        write(dealt.filter(F.col("batch") == number + 1).drop("batch"), number)
+    entries = store.VersionedTable(spark, path).read().filter("name IS NOT NULL")
+    return entries.select(F.col("mmsi").cast("long").alias("user_id"), "name", "destination", "latitude", "longitude", micros("position_at").alias("position_us"), micros("last_seen").alias("seen_us"))
+
+
 def q_duplicate_names(spark, sf_dir):
     found = registry.duplicate_names(_table(spark, sf_dir, "part").select("p_name", "p_partkey"), "p_name", "p_partkey")
     return found.select("shared_name", F.size("keys").cast("long").alias("n"), F.array_join("keys", ",").alias("keys"))
@@ -155,7 +178,7 @@ def q_sector_argmax(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (
-    q_merge_latest, q_duplicate_names, q_best_per_name, q_ship_types, q_best_claim, q_mmsi_class, q_unique_suffix, q_unique_pattern, q_latest_override, q_insert_if_absent,
+    q_merge_latest, q_registry_versions, q_duplicate_names, q_best_per_name, q_ship_types, q_best_claim, q_mmsi_class, q_unique_suffix, q_unique_pattern, q_latest_override, q_insert_if_absent,
     q_upsert_comments, q_merge_days, q_labels_text, q_hourly_distinct, q_rolling_distinct_24h, q_station_verdict, q_sector_argmax,
 )}
 
@@ -174,8 +197,7 @@ _SHIPS = f"""ships AS (
 )"""
 _HOUR = "(epoch_us(ts) // 3600000000)"
 
-ORACLES = {
-    "q_merge_latest": """
+_MERGED = """
 WITH o AS (
   SELECT event_id, user_id, epoch_us(ts) - CASE WHEN event_id % 3 = 0 THEN 86400000000 ELSE 0 END AS t, CASE WHEN event_type <> 'view' THEN event_type END AS name,
          CASE WHEN event_type = 'error' THEN props END AS destination, CASE WHEN value > 10 THEN value END AS latitude, value AS longitude FROM events
@@ -183,7 +205,11 @@ WITH o AS (
 SELECT user_id, arg_max(name, event_id) FILTER (name IS NOT NULL) AS name, arg_max(destination, event_id) FILTER (destination IS NOT NULL) AS destination,
        arg_max(latitude, (t, event_id)) FILTER (latitude IS NOT NULL) AS latitude, arg_max(longitude, (t, event_id)) FILTER (latitude IS NOT NULL) AS longitude,
        max(t) FILTER (latitude IS NOT NULL) AS position_us, max(t) AS seen_us
-FROM o GROUP BY user_id HAVING count(name) > 0""",
+FROM o GROUP BY user_id HAVING count(name) > 0"""
+
+ORACLES = {
+    "q_registry_versions": _MERGED,
+    "q_merge_latest": _MERGED,
     "q_duplicate_names": """
 SELECT upper(trim(p_name)) AS shared_name, count(DISTINCT p_partkey) AS n, array_to_string(list_sort(list(DISTINCT p_partkey)), ',') AS keys
 FROM part GROUP BY 1 HAVING count(DISTINCT p_partkey) > 1""",
