@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.geo import with_ship_type
+
 
 def wildcard(text: str, whole: bool = False) -> str:
     """a search pattern with '?' and '*' as a regular expression; everything else is literal. Search, unless whole."""
@@ -23,6 +25,26 @@ def page(rows: DataFrame, order: list, limit: int, offset: int) -> DataFrame:
     return rows.orderBy(*order).offset(max(0, offset)).limit(min(200, max(1, limit)))
 
 
+def vessel_search(entries: DataFrame, text: str | None = None, *, limit: int = 50, offset: int = 0) -> DataFrame:
+    """A page of vessels (mmsi, name, callsign, type, destination, draught, last_seen, source), last heard first and never heard last, with the type's full reading, whether
+    the name is borne by another entry too (of all entries, found or not), and the total of all found. text: a part of number, name, call sign or destination; '?' and '*' are wildcards."""
+    found = entries
+    if text:
+        needle = text.strip().lower()
+        fields = [F.lower(F.coalesce(F.col(c).cast("string"), F.lit(""))) for c in ("mmsi", "name", "callsign", "destination")]
+        fits = [f.rlike(wildcard(needle)) if set(needle) & set("?*") else f.contains(needle) for f in fields]
+        found = found.filter(fits[0] | fits[1] | fits[2] | fits[3])
+    order = [F.coalesce(F.col("last_seen").cast("string"), F.lit("")).desc(), F.col("mmsi").asc_nulls_first(), "name"]
+    rows = page(found, order, limit, offset).withColumn("__name", F.nullif(F.upper(F.trim("name")), F.lit("")))
+    total = found.agg(F.count("*").alias("total"))  # one row
+    # A page has 200 names at most: only their bearers are counted.
+    names = F.broadcast(rows.select("__name").filter("__name IS NOT NULL").distinct())
+    borne = entries.select(F.upper(F.trim("name")).alias("__name")).join(names, "__name").groupBy("__name").agg((F.count("*") > 1).alias("shared"))
+    read = with_ship_type(rows.join(F.broadcast(borne), "__name", "left"), "type").withColumnRenamed("type_reading", "type_detail")
+    told = ("mmsi", "name", "callsign", "type", "type_detail", "destination", "draught", "last_seen", "source")
+    return read.crossJoin(F.broadcast(total)).select(*told, F.coalesce("shared", F.lit(False)).alias("name_shared"), "total")
+
+
 def age_hours(start: Column, seen: Column) -> Column:
     """Never negative, null where a time is unknown."""
     hours = (start.cast("double") - seen.cast("double")) / 3600

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import airband, evaluation, journal, records, registry, reports, signal, text
+from . import airband, evaluation, journal, panel, records, registry, reports, signal, text
 
-MODULES = (journal, registry, text, evaluation, signal, airband, reports, records)
+MODULES = (journal, registry, text, evaluation, signal, airband, reports, records, panel)
 
 
 def queries() -> dict:

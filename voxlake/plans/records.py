@@ -92,7 +92,7 @@ def q_sightings(spark, sf_dir):
 def q_aircraft_state(spark, sf_dir):
     state = display.aircraft_state(F.col("aircraft"), F.lit("H5"))
     rows = _snapshots(spark, sf_dir).select("t", state.alias("s"))
-    return rows.select("t", "s.flight", "s.track", "s.airline", airband.airline_name(F.concat(F.when(F.hash("t") > 2**31, "x").otherwise("DAL"), F.col("t"))).alias("carrier"))
+    return rows.select("t", "s.flight", "s.track", "s.airline", airband.airline_name(F.concat(F.lit("DAL"), F.col("t"))).alias("carrier"))
 
 
 def _captures(spark, sf_dir):
@@ -132,10 +132,13 @@ def q_reference_file(spark, sf_dir):
 
 
 def q_results_file(spark, sf_dir):
+    """A file of results per supplier's hundred, as an arm writes one per run; each is read as it lies."""
     path = new_folder(spark, "results")
     row = F.struct(F.lpad(F.col("s_suppkey").cast("string"), 4, "0").alias("clip_id"), F.col("s_name").alias("text"), (F.col("s_suppkey") / 2).alias("elapsed"))
-    configs = _table(spark, sf_dir, "supplier").groupBy((F.col("s_suppkey") % 3).cast("string").alias("config")).agg(F.collect_list(row).alias("rows"))  # a report
-    configs.agg(F.map_from_entries(F.collect_list(F.struct("config", "rows"))).alias("results")).coalesce(1).write.json(path)
+    part = F.floor(F.col("s_suppkey") / 100)
+    configs = _table(spark, sf_dir, "supplier").groupBy(part.alias("part"), (F.col("s_suppkey") % 3).cast("string").alias("config")).agg(F.collect_list(row).alias("rows"))  # 34 rows
+    whole = configs.groupBy("part").agg(F.map_from_entries(F.collect_list(F.struct("config", "rows"))).alias("results"))
+    whole.write.partitionBy("part").json(path)
     return files.results(spark, path).select("config", "clip_id", "text", "elapsed")
 
 
@@ -248,7 +251,7 @@ def q_conversation_page(spark, sf_dir):
 
 
 def q_conversation_turns(spark, sf_dir):
-    bound = conversations.confirm_max_age_hours("bad") * 0 + 12.0
+    bound = conversations.confirm_max_age_hours("bad")
     shown = _records(spark, sf_dir).select("o_orderkey", F.posexplode(conversations.turn_views(F.col("turns"), F.col("start"), bound)).alias("turn", "t"))
     return shown.select("o_orderkey", "turn", "t.changed_by_regex", "t.changed_by_llm", "t.live_match", "t.live_age_hours")
 

@@ -66,10 +66,11 @@ def worksheet(spark: SparkSession, path: str) -> DataFrame:
 
 
 def results(spark: SparkSession, path: str) -> DataFrame:
-    """A results file {results: {config: [row]}} as rows with their config; of equal clips in a config the last counts."""
+    """A results file, or a folder of them, {results: {config: [row]}} as rows with their config; of equal clips in a config the last of the last file counts."""
     row = "ARRAY<STRUCT<clip_id: STRING, text: STRING, reference: STRING, elapsed: DOUBLE, wer: DOUBLE, error: STRING>>"
-    rows = spark.read.schema(f"results MAP<STRING, {row}>").json(path, multiLine=True)
-    flat = rows.select(F.explode("results").alias("config", "rows")).select("config", F.posexplode("rows").alias("place", "r"))
+    rows = spark.read.schema(f"results MAP<STRING, {row}>").json(path, multiLine=True).select(F.col("_metadata.file_path").alias("file"), "results")
+    flat = rows.select("file", F.explode("results").alias("config", "rows")).select("file", "config", F.posexplode("rows").alias("n", "r"))
+    flat = flat.select("config", "r", F.struct("file", "n").alias("place"))
     return flat.groupBy("config", F.col("r.clip_id").alias("clip_id")).agg(F.max_by("r", "place").alias("r")).select("config", "r.*")
 
 
