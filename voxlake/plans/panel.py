@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import airband, display
 from ..functions import signal as S
 from ..functions import time as T
-from ..operators import archive, audio, conversations, evaluation, views
+from ..operators import archive, audio, conversations, evaluation, replay, views
 from ..scratch import new_folder
 from .records import _records, _table
 
@@ -122,9 +122,22 @@ def q_import_records(spark, sf_dir):
     return archive.import_records(spark, [path], "id: BIGINT, name: STRING", stored, "id").select("id", "name")
 
 
+def q_registry_as_of(spark, sf_dir):
+    """Each purchase asks for its user as all earlier observations left them."""
+    k, events = F.col("event_id"), _table(spark, sf_dir, "events")
+    observations = events.select(
+        k.alias("arrival"), F.col("user_id").cast("string").alias("mmsi"), F.col("ts").cast("timestamp").alias("observed_at"), F.when(F.col("event_type") == "view", " ").otherwise(F.col("event_type")).alias("name"),
+        F.when(k % 3 == 0, F.concat(F.lit("P"), k)).alias("callsign"), F.lit(None).cast("int").alias("type"), F.lit(None).cast("string").alias("destination"),
+        F.when(F.col("value") > 10, F.col("value")).alias("latitude"), F.col("value").alias("longitude"),
+    )
+    asked = events.filter("event_type = 'purchase'").select(k.alias("label"), F.col("user_id").cast("string").alias("mmsi"), (F.col("ts").cast("timestamp") - F.expr("INTERVAL 1 HOUR")).alias("reference_at"))
+    found = replay.registry_as_of(observations, asked)
+    return found.select("label", "name", "callsign", "latitude", F.unix_micros("position_at").alias("position_us"), F.unix_micros("last_seen").alias("seen_us"))
+
+
 QUERIES = {f.__name__: f for f in (
     q_vessel_search, q_conversation_rows, q_conversation_details, q_carriers, q_worksheet_blocks, q_clip_range, q_correction_turns, q_of_days, q_new_columns, q_effective_prompt,
-    q_retry_after, q_clip_counts, q_pooled_wer_of_arm, q_latest_log, q_clip_paths, q_mono, q_import_records,
+    q_retry_after, q_clip_counts, q_pooled_wer_of_arm, q_latest_log, q_clip_paths, q_mono, q_import_records, q_registry_as_of,
 )}
 
 _HEARD = "h AS (SELECT c_custkey, c_mktsegment, c_custkey % 5 = 0 AS bare, CASE WHEN c_custkey % 5 = 0 THEN NULL WHEN c_custkey % 3 = 0 THEN 1 ELSE 0 END AS edits, CASE WHEN c_custkey % 5 <> 0 THEN 3 END AS words FROM customer)"
@@ -169,5 +182,10 @@ SELECT s_suppkey, CASE WHEN s_suppkey % 3 <> 0 AND length(c) = 4 THEN '/captures
     "q_mono": """
 WITH y AS (SELECT vec_id, list_transform(list_zip(embedding, list_reverse(embedding)), lambda p: ((p[1] + p[2]) / 2)::DOUBLE) AS y FROM embeddings)
 SELECT vec_id, round(y[1], 6) AS "first", round(list_sum(list_transform(y, lambda x: x * x)), 5) AS power FROM y""",
+    "q_registry_as_of": """
+WITH o AS (SELECT event_id, user_id, epoch_us(ts) AS t, CASE WHEN event_type <> 'view' THEN event_type END AS name, CASE WHEN event_id % 3 = 0 THEN 'P' || event_id END AS callsign, CASE WHEN value > 10 THEN value END AS latitude FROM events)
+SELECT a.event_id AS label, arg_max(o.name, (o.t, o.event_id)) FILTER (o.name IS NOT NULL) AS name, arg_max(o.callsign, (o.t, o.event_id)) FILTER (o.callsign IS NOT NULL) AS callsign,
+       arg_max(o.latitude, (o.t, o.event_id)) FILTER (o.latitude IS NOT NULL) AS latitude, max(o.t) FILTER (o.latitude IS NOT NULL) AS position_us, max(o.t) AS seen_us
+FROM events a LEFT JOIN o ON o.user_id = a.user_id AND o.t <= epoch_us(a.ts) - 3600000000 WHERE a.event_type = 'purchase' GROUP BY a.event_id""",
     "q_import_records": "SELECT c_custkey AS id, c_name AS name FROM customer WHERE c_custkey % 7 <> 0",
 }
