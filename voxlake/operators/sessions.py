@@ -21,8 +21,10 @@ def gap_sessions(rows: DataFrame, channel: str, at: str, order: str, gap: int, c
     rows = rows.withColumns({"__channel": key, "__block": F.coalesce(F.floor(F.col(at) / (gap * block)).cast("long"), F.lit(-(2**63)))})
     in_block = Window.partitionBy("__channel", "__block").orderBy(at, order)
     opened = F.coalesce((F.col(at) - F.lag(at).over(in_block) > gap).cast("long"), F.lit(0))
-    rows = rows.withColumn("__inner", F.sum(opened).over(in_block.rowsBetween(Window.unboundedPreceding, 0)))
-    rows = rows.withColumn("__place", F.row_number().over(Window.partitionBy("__channel", "__block", "__inner").orderBy(at, order)))
+    # One order serves all: a row's place in its session is counted from where the session opened.
+    upto = in_block.rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumns({"__opened": opened, "__row": F.row_number().over(in_block)})
+    rows = rows.withColumns({"__inner": F.sum("__opened").over(upto), "__place": F.col("__row") + 1 - F.coalesce(F.max(F.when(F.col("__opened") == 1, F.col("__row"))).over(upto), F.lit(1))})
     blocks = rows.groupBy("__channel", "__block").agg(
         F.min(at).alias("low"), F.max(at).alias("high"), F.max("__inner").alias("inner"), F.count("*").alias("n"), F.max(F.struct("__inner", "__place"))["__place"].alias("tail"),
     )
