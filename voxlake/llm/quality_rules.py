@@ -206,9 +206,10 @@ def judge(stats: DataFrame, model: Model) -> DataFrame:
 
 
 def filter_documents(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
-    """The kept rows of docs, their columns as they are. Statistics are measured once and written beside the text, for the fit and the verdicts."""
+    """The kept rows of docs, their columns as they are. The fit reads statistics that are written without the texts; the verdicts measure them again, as a copy of the whole corpus beside
+    them would cost more disk than that costs time."""
     names = {c: f"__in_{c}" for c in docs.columns}
-    measured = written(statistics(docs.withColumnsRenamed(names), "__in_text"), "rule-statistics")
-    model = fit(measured.select(F.col("__in_doc_id").alias("doc_id"), *STATISTICS, "base_failed"), labels, **options)
-    kept = judge(measured, model).filter("kept")
+    measured = statistics(docs.withColumnsRenamed(names), "__in_text")
+    slim = written(measured.select(F.col("__in_doc_id").alias("doc_id"), *STATISTICS, "base_failed"), "rule-statistics")
+    kept = judge(measured, fit(slim, labels, **options)).filter("kept")
     return kept.select(*[F.col(f"`{new}`").alias(old) for old, new in names.items()])
