@@ -4,7 +4,7 @@ For each host, the pages that contain a line are divided by the host's pages; ev
 lines stay, in order. A line of one page only is not repeated, so it takes two pages at least, however few a host has. A page is a different text of a
 host: its copies are the same page once more, so that a body that was copied often isn't taken for furniture. ``count_copies`` counts rows instead.
 
-Lines are compared trimmed; blank lines are never boilerplate. Counting happens over (host, 128-bit line hash) with partial
+Lines are compared trimmed of blanks only (a tab or a carriage return makes another line); blank lines are never boilerplate. Counting happens over (host, 128-bit line hash) with partial
 sums before the shuffle, so that neither a hot host nor a hot line meets in one task. Only lines that are boilerplate are joined
 back, and their hits go back to the pages by (host, text), once for all copies.
 

@@ -1,6 +1,6 @@
 """Operator 7, WARC: resolution of not-modified revisits.
 
-A revisit record (304 Not Modified) holds no body: it stands for the latest full response for the same canonical URL that was stored
+A revisit record (304 Not Modified) holds no body (a full response is one of status 200): it stands for the latest full response for the same canonical URL that was stored
 earlier. That response is found by an as-of join, its validators are checked against the revisit's (ETag, compared weakly; else
 Last-Modified), and the headers that a 304 may update replace the stored ones.
 
