@@ -125,3 +125,10 @@ def test_union_of_two_indexes(spark):
     rows = lambda *r: spark.createDataFrame(r, "mmsi string, name string, seen long")
     got = store.merged_indexes(rows(("1", "A", 5), ("2", "B", 1), (None, "N", 1)), rows(("1", "A2", 7), ("2", "B", 1), (None, "N", 1), (None, "M", 1)), "mmsi", "seen")
     assert sorted(map(str, got.collect())) == sorted(map(str, rows(("1", "A2", 7), ("2", "B", 1), (None, "N", 1), (None, "M", 1)).collect()))
+
+
+def test_waiting_room_keeps_those_touched_last(spark):
+    from voxlake.operators.registry import pending
+
+    seen = spark.createDataFrame([("a", None, 1), ("b", " ", 2), ("c", None, 3), ("a", "", 9), ("d", "D", 10), ("d", None, 11)], "mmsi string, name string, arrival long")
+    assert [tuple(r) for r in pending(seen, "mmsi", "name", "arrival", 2).collect()] == [("a", 9), ("c", 3)]

@@ -36,9 +36,9 @@ def merge_observations(
 
 
 def pending(observations: DataFrame, key: str, name: str, arrival: str, most: int = 2000) -> DataFrame:
-    """Keys still waiting for a name: the latest ``most`` of them by first arrival (a bounded waiting room, as specified)."""
-    waiting = observations.groupBy(key).agg(F.min(arrival).alias("since"), F.max(F.nullif(F.trim(F.col(name)), F.lit(""))).alias("__name"))
-    return waiting.filter("__name IS NULL").select(key, "since").orderBy(F.col("since").desc()).limit(most)
+    """Keys still waiting for a name: the ``most`` that were touched last (a bounded waiting room, as specified; of a stream see streaming.registry)."""
+    waiting = observations.groupBy(key).agg(F.max(arrival).alias("touched"), F.max(F.nullif(F.trim(F.col(name)), F.lit(""))).alias("__name"))
+    return waiting.filter("__name IS NULL").select(key, "touched").orderBy(F.col("touched").desc(), key).limit(most)
 
 
 def best_claim(entries: DataFrame, key: str, name: str, static: list[str], ordinal: str) -> DataFrame:
