@@ -41,7 +41,7 @@ def test_agrees_with_sql(spark, sf_dir, sql, name):
 
 @pytest.mark.parametrize("name", sorted(q for q in QUERIES if q.startswith("q_") and q not in ORACLES))
 def test_finds_rows_without_sql(spark, sf_dir, name):
-    """Their results are held against plain loops in test_without_sql, test_signal and test_whole_job."""
+    """Their results are held against plain loops in test_without_sql, test_signal, test_whole_job, test_radio and test_panel."""
     found = QUERIES[name](spark, sf_dir)
     assert found.columns and found.count() > 0
 

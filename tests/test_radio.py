@@ -142,11 +142,27 @@ def test_a_given_cut_list_holds_for_all_arms_and_ends_are_clipped(spark):
     assert {k for k, n in sizes.items() if n == 0} == {("a", 2), ("b", 2)} and sizes["a", 0] == sizes["b", 0] == 1600
 
 
-def test_the_query_hears_what_a_plain_receiver_hears(spark, sf_dir):
+def held_recordings(spark, sf_dir):
     held = {}
     for r in plans.embedding_blocks(spark, sf_dir).collect():
         held.setdefault(r.capture, {})[r.block] = np.asarray(r.re, float) + 1j * np.asarray(r.im, float)
-    want = {c: whole(np.concatenate([b[k] for k in sorted(b)]), plans.RATE, plans.RECEIVER)[0] for c, b in held.items()}
+    return {c: np.concatenate([b[k] for k in sorted(b)]) for c, b in held.items()}
+
+
+def test_the_query_of_frames_has_the_whole_signals_power(spark, sf_dir):
+    got = {(r.capture, r.frame): r.power for r in plans.q_channel_frames(spark, sf_dir).collect()}
+    want = {(c, i): p for c, x in held_recordings(spark, sf_dir).items() for i, p in enumerate(whole(x, plans.RATE, plans.RECEIVER)[1])}
+    assert set(got) == set(want) and all(abs(got[k] - want[k]) < 1e-5 for k in want)
+
+
+def test_the_query_of_arms_has_the_same_clips_for_each(spark, sf_dir):
+    rows = plans.q_replay_arms(spark, sf_dir).collect()
+    sizes = {arm: {(r.capture, r.segment): r.n for r in rows if r.arm == arm} for arm in ("wide", "gated")}
+    assert sizes["wide"] == sizes["gated"] and len(sizes["wide"]) > 10 and sum(sizes["wide"].values()) > 0
+
+
+def test_the_query_hears_what_a_plain_receiver_hears(spark, sf_dir):
+    want = {c: whole(x, plans.RATE, plans.RECEIVER)[0] for c, x in held_recordings(spark, sf_dir).items()}
     got = {}
     for r in plans.q_demodulated(spark, sf_dir).collect():
         got.setdefault(r.capture, []).append((r.block, r.n, r.total))
