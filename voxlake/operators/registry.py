@@ -92,12 +92,13 @@ def unique_suffix(asked: DataFrame, registry: DataFrame, suffix: str, key: str,
 def unique_pattern(asked: DataFrame, registry: DataFrame, pattern: str, key: str) -> DataFrame:
     """Patterns in which '.' is one unknown character, with the one key they fit; null when none or several do.
 
-    A pattern and a key meet by length and by the pattern's first known character and its place, so that no pattern is held against all keys.
+    A pattern and a key meet by equality: each key offers itself under every different mask of unknown places that patterns of its length have (a handful,
+    taken from the data, where patterns have a gap or two; never more than there are patterns).
     """
-    wanted = asked.select(F.upper(F.col(pattern)).alias("pattern")).distinct().withColumn("__at", F.length(F.regexp_extract("pattern", r"^(\.*)", 1)) + 1)
-    wanted = wanted.withColumn("__char", F.substring("pattern", F.col("__at"), F.lit(1))).withColumn("__length", F.length("pattern"))
-    keys = registry.select(F.upper(F.col(key)).alias("key")).distinct().withColumn("__length", F.length("key"))
-    places = keys.select("key", "__length", F.posexplode(F.split("key", "")).alias("__at", "__char")).filter("__char <> ''").withColumn("__at", F.col("__at") + 1)
-    met = places.join(wanted, ["__length", "__at", "__char"]).filter(F.expr("key RLIKE concat('^', regexp_replace(pattern, '([^A-Z0-9.])', '\\\\\\\\$1'), '$')"))
-    one = met.groupBy("pattern").agg(F.count("*").alias("n"), F.min("key").alias("key")).filter("n = 1").select("pattern", "key")
-    return wanted.select("pattern").join(one, "pattern", "left")
+    wanted = asked.select(F.upper(F.col(pattern)).alias("pattern")).filter("pattern IS NOT NULL").distinct()
+    masks = wanted.select(F.regexp_replace("pattern", r"[^.]", "#").alias("__mask")).distinct().withColumn("__length", F.length("__mask"))
+    masks = masks.select("__length", F.filter(F.sequence(F.lit(1), F.greatest("__length", F.lit(1))), lambda i: F.substring("__mask", i, F.lit(1)) == ".").alias("__gaps"))
+    keys = registry.select(F.upper(F.col(key)).alias("key")).filter("key <> ''").distinct().withColumn("__length", F.length("key"))
+    offered = keys.join(masks, "__length").select("key", F.aggregate("__gaps", F.col("key"), lambda s, i: F.overlay(s, F.lit("."), i, F.lit(1))).alias("pattern"))
+    one = offered.join(wanted, "pattern").groupBy("pattern").agg(F.count("*").alias("n"), F.min("key").alias("key")).filter("n = 1").select("pattern", "key")
+    return asked.select(F.upper(F.col(pattern)).alias("pattern")).distinct().join(one, "pattern", "left")
