@@ -200,7 +200,7 @@ def effective_prompt(client: Column, override: Column, default: Column) -> Colum
 
 def worksheet_block(index: Column, time: Column, channel: Column, seconds: Column, text: Column, system: Column) -> Column:
     """A block of the labelling worksheet: what was heard by machine and what the system made of it, with two lines to fill in."""
-    number = F.lpad(index.cast("string"), 4, "0")
+    number = F.lpad(index.cast("string"), F.greatest(F.lit(4), F.length(index.cast("string"))), "0")
     head = F.format_string("--- %s %s\naudio    : %s_sent.wav   (raw: %s_raw.wav)", number, F.lit("-" * 55), number, number)
     when = F.format_string("time     : %s   channel: %s   %.1fs", F.coalesce(time, F.lit("")), F.coalesce(channel, F.lit("")), F.coalesce(seconds.cast("double"), F.lit(0.0)))
     said = F.coalesce(text, F.lit(""))

@@ -244,7 +244,7 @@ def replay(blocks: DataFrame, rate: float, size: int, arms: dict[str, Receiver],
 
 def clip_name(capture: Column, segment: Column) -> Column:
     """capture/NNNN_sent.wav"""
-    return F.concat(F.regexp_replace(capture, r"\.\w+$", ""), F.lit("/"), F.lpad(segment.cast("string"), 4, "0"), F.lit("_sent.wav"))
+    return F.concat(F.regexp_replace(capture, r"\.\w+$", ""), F.lit("/"), F.lpad(segment.cast("string"), F.greatest(F.lit(4), F.length(segment.cast("string"))), "0"), F.lit("_sent.wav"))
 
 
 def write_arms(clips: DataFrame, folder: str) -> None:

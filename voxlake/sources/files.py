@@ -24,18 +24,18 @@ from .logs import ordered_lines
 
 
 def capture_index(spark: SparkSession, path: str) -> DataFrame:
-    """Index lines (a byte order mark and CRLF are fine, bad rows go): clip (four digits), stamp (offset dropped), channel, text; of equal
+    """Index lines (a byte order mark and CRLF are fine, bad rows go): clip (four digits or more), stamp (offset dropped), channel, text; of equal
     clips the last line counts, in the order of the files' paths and of their lines."""
     lines = ordered_lines(spark, path)
     rows = lines.select(F.col("place").alias("line"), F.from_json("value", schemas.CAPTURE).alias("c")).filter("c.index IS NOT NULL")
-    named = rows.select(F.lpad(F.col("c.index").cast("string"), 4, "0").alias("clip"), stamp(F.col("c.timestamp")).alias("stamp"), "c.channel", "c.text", "line").filter("stamp IS NOT NULL")
+    named = rows.select(F.format_string("%04d", "c.index").alias("clip"), stamp(F.col("c.timestamp")).alias("stamp"), "c.channel", "c.text", "line").filter("stamp IS NOT NULL")
     return named.groupBy("clip").agg(F.max_by(F.struct("stamp", "channel", "text"), "line").alias("c")).select("clip", "c.*")
 
 
 def replay_chunks(captures: DataFrame) -> DataFrame:
-    """Texts without display tags, empty ones left out, with their place in time."""
+    """Texts without display tags, empty ones left out, with their place in time; those of one second lie by their clips' numbers, which may have more than four digits."""
     said = captures.withColumn("text", F.trim(strip_tag(F.col("text")))).filter("text <> ''")
-    return said.withColumn("place", F.row_number().over(Window.partitionBy("channel").orderBy("stamp", "clip")))
+    return said.withColumn("place", F.row_number().over(Window.partitionBy("channel").orderBy("stamp", F.length("clip"), "clip")))
 
 
 def labels(spark: SparkSession, path: str) -> DataFrame:
