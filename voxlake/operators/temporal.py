@@ -39,18 +39,29 @@ def asof_backward(left: DataFrame, right: DataFrame, keys: list[str], at: str, t
     return found.filter("__left IS NOT NULL").select("__left.*", kept.alias("found"))
 
 
-def nearest_within(left: DataFrame, right: DataFrame, left_id: str, at: str, tolerance: int, ordinal: str, keys: list[str] | None = None) -> DataFrame:
-    """left's id with 'found' (the right row nearest in time, at most the tolerance away, ties to the smallest ordinal) and 'delta'.
+def nearest_within(left: DataFrame, right: DataFrame, left_id: str, at: str, tolerance: int, ordinal: str, keys: list[str] | None = None, blocks_of: int = 8) -> DataFrame:
+    """left with 'found' (the right row nearest in time, at most the tolerance away, ties to the smallest ordinal) and 'delta'.
 
-    Buckets of one tolerance: a right row lies in its own bucket, a left row asks three.
+    No pairs are made: of right rows of one time the smallest ordinal stays, and in blocks of time of 8 tolerances (right rows also where they reach into)
+    each left row takes the last one before it and the first one after it.
     """
     keys = keys or []
-    width = max(1, tolerance)
-    asked = left.select(left_id, *keys, F.col(at).alias("__at"), F.explode(F.sequence(F.floor(F.col(at) / width) - 1, F.floor(F.col(at) / width) + 1)).alias("__bucket"))
-    rows = right.select(*keys, F.col(at).alias("__right_at"), F.col(ordinal).alias("__ordinal"), F.struct(*right.columns).alias("__right"), F.floor(F.col(at) / width).alias("__bucket"))
-    near = asked.join(rows, [*keys, "__bucket"]).withColumn("__delta", F.abs(F.col("__at") - F.col("__right_at"))).filter(F.col("__delta") <= tolerance)
-    best = near.groupBy(left_id).agg(F.min_by("__right", F.struct("__delta", "__ordinal")).alias("found"), F.min("__delta").alias("delta"))
-    return left.join(best, left_id, "left")
+    width = max(1, tolerance) * blocks_of
+    block = lambda t: F.floor(t / width)
+    known = right.filter(" AND ".join(f"`{c}` IS NOT NULL" for c in [*keys, at]))
+    rows = known.groupBy(*keys, F.col(at).alias("__at")).agg(F.min_by(F.struct(*right.columns), F.col(ordinal)).alias("__right"), F.min(ordinal).alias("__ordinal"))
+    reach = F.array_distinct(F.array(block(F.col("__at") - tolerance), block(F.col("__at")), block(F.col("__at") + tolerance)))
+    rows = rows.select(*keys, "__at", F.struct("__at", "__ordinal", "__right").alias("__near"), F.lit(None).cast(left.select(F.struct("*").alias("s")).schema["s"].dataType).alias("__left"), F.explode(reach).alias("__block"))
+    asked = left.select(*keys, F.col(at).alias("__at"), F.lit(None).cast(rows.schema["__near"].dataType).alias("__near"), F.struct("*").alias("__left"), block(F.col(at)).alias("__block"))
+    # Both ways right rows come first at their time, and the frame only grows.
+    way = lambda order: F.last("__near", ignorenulls=True).over(Window.partitionBy(*keys, "__block").orderBy(order, F.col("__left").isNotNull()).rowsBetween(Window.unboundedPreceding, 0))
+    both = rows.unionByName(asked).withColumn("__before", way(F.col("__at").asc())).withColumn("__after", way(F.col("__at").desc())).filter("__left IS NOT NULL")
+    far = lambda c: F.abs(F.col("__at") - F.col(f"{c}.__at"))
+    near = lambda c: F.when(far(c) <= tolerance, F.struct(far(c).alias("delta"), F.col(f"{c}.__ordinal").alias("ordinal"), F.col(f"{c}.__right").alias("found")))
+    before, after = near("__before"), near("__after")
+    first = (before["delta"] < after["delta"]) | (before["delta"] == after["delta"]) & (before["ordinal"] <= after["ordinal"])
+    best = F.when(before.isNull(), after).when(after.isNull() | first, before).otherwise(after)
+    return both.select("__left.*", best.alias("__best")).select(*left.columns, "__best.found", "__best.delta")
 
 
 def within_intervals(intervals: DataFrame, points: DataFrame, keys: list[str], start: str, end: str, at: str, width: int) -> DataFrame:
