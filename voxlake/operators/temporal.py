@@ -92,42 +92,46 @@ def change_echo(
     """
     times = snapshots.select(F.col("t").alias("snap_t")).distinct()
     span = before + after
-    # Snapshots after the window's start: bucketed. The baseline may lie far back: an as-of join without tolerance, over times only.
+    # Of each transmission the last snapshot at or before its window's start, which may lie far back, and the first one after: as-of, over times only.
     asked = spoken.select("id", "t", "numbers", (F.col("t") - before).alias("__limit"))
     tagged = times.select(F.lit(None).cast(spoken.schema["id"].dataType).alias("id"), F.col("snap_t").alias("at"), "snap_t", F.lit(0).alias("side")).unionByName(
         asked.select("id", F.col("__limit").alias("at"), F.lit(None).cast("long").alias("snap_t"), F.lit(1).alias("side"))
     )
-    # Blocks of the time axis; a block without a snapshot takes the last one of earlier blocks.
-    block = F.floor(F.col("at") / (span * 64))
-    tagged = tagged.withColumn("block", block)
-    ends = tagged.groupBy("block").agg(F.max("snap_t").alias("end"))
-    carry = ends.select("block", F.last("end", ignorenulls=True).over(Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)).alias("carried"))
-    order = Window.partitionBy("block").orderBy("at", "side").rowsBetween(Window.unboundedPreceding, 0)
-    base = tagged.withColumn("own", F.last("snap_t", ignorenulls=True).over(order)).filter("side = 1").join(carry, "block")
-    base = base.select("id", F.coalesce("own", "carried").alias("base_t"))
-    asked = asked.join(base, "id", "left")
-    numbers = asked.select("id", "t", "base_t", F.posexplode("numbers").alias("pos", "number"))
-    later = snapshots.withColumn("__bucket", F.floor(F.col("t") / span)).withColumnRenamed("t", "snap_t")
-    windows = numbers.withColumn("__bucket", F.explode(F.sequence(F.floor((F.col("t") - before) / span), F.floor((F.col("t") + after) / span))))
-    value = lambda p: F.when(F.col("number.kind") == "altitude", F.col(f"{p}selected_altitude")).otherwise(F.col(f"{p}selected_heading"))
-
-    def close(v: Column) -> Column:
-        wanted = F.col("number.value").cast("double")
-        return F.when(F.col("number.kind") == "altitude", F.abs(v - wanted) <= altitude).otherwise(angle_close(v, wanted, heading))
-
-    inside = (F.col("snap_t") > F.col("t") - before) & (F.col("snap_t") <= F.col("t") + after)
-    seen = windows.join(later, "__bucket").filter(inside & ~F.coalesce(F.col("on_ground"), F.lit(False)))
-    seen = seen.filter(F.coalesce(close(value("")), F.lit(False)))
-    old = snapshots.select(F.col("t").alias("base_t"), "hex", F.col("selected_altitude").alias("base_selected_altitude"), F.col("selected_heading").alias("base_selected_heading"))
-    changed = seen.join(old, ["base_t", "hex"]).filter(~close(value("base_")))
-    first = changed.groupBy("id", "hex").agg(F.min(F.struct("pos", "snap_t")).alias("first"), F.first("t").alias("t"))
-    hits = first.groupBy("id").agg(
-        F.array_sort(F.collect_set("hex")).alias("candidates"), F.min(F.struct("hex", (F.col("first.snap_t") - F.col("t")).alias("delay"))).alias("only")
+    # Blocks of the time axis; a block without a snapshot takes the last one of earlier blocks, and the first one of later blocks.
+    tagged = tagged.withColumn("block", F.floor(F.col("at") / (span * 8)))
+    ends = tagged.groupBy("block").agg(F.min("snap_t").alias("begin"), F.max("snap_t").alias("end"))
+    carry = ends.select(
+        "block", F.last("end", ignorenulls=True).over(Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)).alias("carried"),
+        F.last("begin", ignorenulls=True).over(Window.orderBy(F.col("block").desc()).rowsBetween(Window.unboundedPreceding, -1)).alias("to_come"),
     )
-    has_later = within_intervals(
-        asked.select("id", (F.col("t") - before + 1).alias("from"), (F.col("t") + after).alias("to")), times, [], "from", "to", "snap_t", span
-    ).select("id").distinct().withColumn("later", F.lit(True))
-    joined = asked.join(hits, "id", "left").join(has_later, "id", "left")
+    last = lambda *order: F.last("snap_t", ignorenulls=True).over(Window.partitionBy("block").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    base = tagged.withColumn("own", last("at", "side")).withColumn("next", last(F.col("at").desc(), F.col("side").desc())).filter("side = 1").join(carry, "block")
+    base = base.select("id", F.coalesce("own", "carried").alias("base_t"), F.coalesce("next", "to_come").alias("next_t"))
+    asked = asked.join(base, "id", "left").withColumn("later", F.when(F.col("next_t") <= F.col("t") + after, True))
+    # A change is an aircraft's value in a baseline and another one of its in a snapshot that some transmission with that baseline looks at.
+    bucket = lambda t: F.floor(t / span)
+    heard = asked.filter("later AND base_t IS NOT NULL AND size(numbers) > 0")
+    bases = heard.groupBy("base_t").agg((F.min("t") - before).alias("from"), (F.max("t") + after).alias("to"))
+    bases = bases.withColumn("__bucket", F.explode(F.sequence(bucket(F.col("from")), bucket(F.col("to"))))).join(times.select(bucket(F.col("snap_t")).alias("__bucket")).distinct(), "__bucket", "left_semi")
+    old = snapshots.select(F.col("t").alias("base_t"), "hex", F.col("selected_altitude").alias("old_altitude"), F.col("selected_heading").alias("old_heading")).join(bases, "base_t")
+    new = snapshots.filter(~F.coalesce(F.col("on_ground"), F.lit(False))).select(F.col("t").alias("snap_t"), "hex", "selected_altitude", "selected_heading", bucket(F.col("t")).alias("__bucket"))
+    met = new.join(old, ["hex", "__bucket"]).filter((F.col("snap_t") > F.col("from")) & (F.col("snap_t") <= F.col("to")))
+    change = lambda a, kind: F.struct(F.lit(a).alias("is_altitude"), F.col(f"old_{kind}").cast("double").alias("old"), F.col(f"selected_{kind}").cast("double").alias("new"))
+    changes = met.select("base_t", "hex", "snap_t", F.inline(F.array(change(True, "altitude"), change(False, "heading")))).filter("old <> new")
+    # A change and a number meet by the baseline and by the number's size, in steps of two tolerances: a number lies in at most three of them.
+    rise, sectors = max(2 * altitude, 1.0), max(1, int(360 // max(2 * heading, 1.0)))
+    step = lambda v, is_altitude: F.when(is_altitude, F.floor(v / rise)).otherwise(F.floor(F.pmod(v, F.lit(360.0)) * (sectors / 360.0)) % sectors)
+    is_altitude, wanted = F.coalesce(F.col("number.kind") == "altitude", F.lit(False)), F.col("number.value").cast("double")
+    edge = F.when(F.col("is_altitude"), altitude).otherwise(heading) * (1 + 1e-9) + F.abs("wanted") * 1e-9
+    numbers = heard.select("id", "t", "base_t", F.posexplode("numbers").alias("pos", "number")).select("id", "t", "base_t", "pos", is_altitude.alias("is_altitude"), wanted.alias("wanted"))
+    steps = F.array_distinct(F.array(*[step(v, F.col("is_altitude")) for v in (F.col("wanted") - edge, F.col("wanted"), F.col("wanted") + edge)]))
+    numbers = numbers.filter("wanted IS NOT NULL").withColumn("__step", F.explode(steps))
+    close = lambda v: F.when(F.col("is_altitude"), F.abs(v - F.col("wanted")) <= altitude).otherwise(angle_close(v, F.col("wanted"), heading))
+    inside = (F.col("snap_t") > F.col("t") - before) & (F.col("snap_t") <= F.col("t") + after)
+    seen = numbers.join(changes.withColumn("__step", step(F.col("new"), F.col("is_altitude"))), ["base_t", "is_altitude", "__step"]).filter(inside & close(F.col("new")) & ~close(F.col("old")))
+    hits = seen.groupBy("id").agg(F.array_sort(F.collect_set("hex")).alias("candidates"), F.min(F.struct("hex", "pos", (F.col("snap_t") - F.col("t")).alias("delay"))).alias("first"))
+    hits = hits.select("id", "candidates", F.col("first.hex").alias("__hex"), F.col("first.delay").alias("__delay"))
+    joined = asked.join(hits, "id", "left")
     n = F.size("candidates")
     status = (
         F.when(F.coalesce(F.size("numbers"), F.lit(0)) <= 0, "no_numbers").when(F.col("base_t").isNull() | F.col("later").isNull(), "no_snapshots")
@@ -136,6 +140,6 @@ def change_echo(
     is_match = status == "match"
     none = F.array().cast("array<string>")
     return joined.select(
-        "id", status.alias("status"), F.when(is_match, F.col("only.hex")).alias("hex"), F.when(is_match, F.col("only.delay")).alias("delay"),
+        "id", status.alias("status"), F.when(is_match, F.col("__hex")).alias("hex"), F.when(is_match, F.col("__delay")).alias("delay"),
         F.when(status.isin("match", "ambiguous"), F.col("candidates")).otherwise(none).alias("candidates"),
     )
