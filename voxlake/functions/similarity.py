@@ -76,6 +76,18 @@ def indel_ratio(a: Column, b: Column) -> Column:
     return ratio(a, b)
 
 
+def any_similar(texts: Column, name: Column, cutoff: float) -> Column:
+    """Whether T1 of some of an array of texts and the name is the cutoff or more; texts that are too short or too long for that aren't compared."""
+    def near(text: str | None, name: str) -> bool:
+        return text is not None and 200.0 * min(len(text), len(name)) >= cutoff * (len(text) + len(name)) and indel_ratio_of(text, name) >= cutoff
+
+    @F.pandas_udf("boolean")
+    def found(arrays: pd.Series, names: pd.Series) -> pd.Series:
+        return pd.Series([a is not None and n is not None and any(near(t, n) for t in a) for a, n in zip(arrays, names, strict=True)], dtype=bool)
+
+    return found(texts, name)
+
+
 def token_set_ratio_of(a: str, b: str) -> float:
     """The best ratio among the sorted common words, and those followed by either side's own words."""
     x, y = set(a.split()), set(b.split())
