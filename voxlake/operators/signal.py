@@ -36,7 +36,7 @@ def segments(
     runs = active.withColumn("__opened", opened).withColumn("__run", F.sum("__opened").over(order))
     found = runs.groupBy(capture, "__run").agg(F.min(frame).alias("first"), (F.max(frame) + 1).alias("last"), F.first("n_frames").alias("n_frames"))
     start, end = F.col("first") / rate, F.col("last") / rate
-    kept = found.filter(end - start >= least_ms / 1000 - 1e-12)
+    kept = found.filter(F.col("last") - F.col("first") >= least_ms / 1000 * rate - 1e-9)  # in frames: seconds far from 0 are too coarse
     return kept.select(capture, F.greatest(F.lit(0.0), start - pad_ms / 1000).alias("start_s"), F.least(F.col("n_frames") / rate, end + pad_ms / 1000).alias("end_s"))
 
 
