@@ -88,9 +88,10 @@ def shortlist(probes: DataFrame, ships: DataFrame, key: str, n: int = 3, floor:
                 })
 
     # A row per chunk of probes and block of ships; what comes out are the scores that reach the floor.
-    pairs = asked.join(blocks, "block").repartition("chunk", "block").select("probes", "ships")
+    # Merged, not broadcast: lists of names or probes and the hits never pass through the driver.
+    pairs = asked.join(blocks.hint("merge"), "block").repartition("chunk", "block").select("probes", "ships")
     hits = pairs.mapInPandas(scored, "probe string, mmsi string, name string, score double")
-    per_ship = probes.join(hits, "probe").groupBy(key, "mmsi").agg(
+    per_ship = probes.join(hits.hint("merge"), "probe").groupBy(key, "mmsi").agg(
         F.max_by(F.struct("name", F.col("probe").alias("heard"), "score"), F.struct("score", (-F.col("pos")).alias("early"), "name")).alias("best")
     )
     flat = per_ship.select(key, "mmsi", "best.name", "best.heard", F.round("best.score", 1).alias("score"), F.col("best.score").alias("__exact"))
