@@ -19,8 +19,17 @@ def channel_power(samples: DataFrame, capture: str, n: str, re: str, im: str, fr
 
 
 def noise_floor(frames: DataFrame, capture: str, power: str, share: float = 0.2) -> DataFrame:
-    """An interpolated percentile per capture."""
-    return frames.groupBy(capture).agg(F.percentile(power, share).alias("floor"), F.count("*").alias("n_frames"))
+    """An interpolated percentile per capture. Of the two values beside it, the first's part is multiplied and added in one rounding, as in the SQL: a frame may lie
+    on a bar above the floor to the last bit."""
+    whole = Window.partitionBy(capture)
+    ranked = frames.withColumn("__n", F.count(power).over(whole)).withColumn("__rank", F.row_number().over(whole.orderBy(F.col(power).asc_nulls_last())))
+    at = (F.col("__n") - 1) * F.lit(float(share))
+    value = lambda rank: F.max(F.when(F.col("__rank") == rank + 1, F.col(power).cast("double")))
+    beside = ranked.groupBy(capture).agg(value(F.floor(at)).alias("__low"), value(F.ceil(at)).alias("__high"), F.max(at - F.floor(at)).alias("__part"), F.count("*").alias("n_frames"))
+    known = [F.coalesce(c, F.lit(0.0)) for c in (F.col("__low"), 1 - F.col("__part"), F.col("__high") * F.col("__part"))]
+    between = F.java_method(F.lit("java.lang.Math"), F.lit("fma"), *known).cast("double")
+    floor = F.when(F.col("__low").isNull() | (F.col("__part") == 0), F.col("__low")).otherwise(between)
+    return beside.select(capture, floor.alias("floor"), "n_frames")
 
 
 def segments(
